@@ -3,6 +3,7 @@
 from cloakwork.llm.decontamination import op7_benchmark_hits
 from cloakwork.llm.fingerprints import op4_scaled_sketch
 from cloakwork.llm.mixing import op3_source_mix
+from cloakwork.llm.near_dedup import op2_hyperminhash_groups
 from cloakwork.llm.secrets import op1_secret_automaton
 from cloakwork.llm.sharding import op8_interleaved_shards
 from cloakwork.llm.url_filters import op10_url_rules
@@ -11,6 +12,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_automaton,
+        op2_hyperminhash_groups,
         op3_source_mix,
         op4_scaled_sketch,
         op7_benchmark_hits,
