@@ -4,6 +4,7 @@ from cloakwork.llm.decontamination import op7_benchmark_hits
 from cloakwork.llm.fingerprints import op4_scaled_sketch
 from cloakwork.llm.mixing import op3_source_mix
 from cloakwork.llm.near_dedup import op2_hyperminhash_groups
+from cloakwork.llm.quality import op9_pairwise_quality
 from cloakwork.llm.secrets import op1_secret_automaton
 from cloakwork.llm.sharding import op8_interleaved_shards
 from cloakwork.llm.url_filters import op10_url_rules
@@ -17,6 +18,7 @@ QUERIES = {
         op4_scaled_sketch,
         op7_benchmark_hits,
         op8_interleaved_shards,
+        op9_pairwise_quality,
         op10_url_rules,
     )
 }
