@@ -2,6 +2,8 @@
 
 from cloakwork.llm.decontamination import op7_benchmark_hits
 from cloakwork.llm.fingerprints import op4_scaled_sketch
+from cloakwork.llm.language_id import op5_language_evidence
+from cloakwork.llm.licenses import op6_license_digests
 from cloakwork.llm.mixing import op3_source_mix
 from cloakwork.llm.near_dedup import op2_hyperminhash_groups
 from cloakwork.llm.quality import op9_pairwise_quality
@@ -16,6 +18,8 @@ QUERIES = {
         op2_hyperminhash_groups,
         op3_source_mix,
         op4_scaled_sketch,
+        op5_language_evidence,
+        op6_license_digests,
         op7_benchmark_hits,
         op8_interleaved_shards,
         op9_pairwise_quality,
