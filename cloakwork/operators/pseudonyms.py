@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.memo import remembered
 from cloakwork.functions.spans import let, literal
 from cloakwork.functions.values import casefold, normalized
 
@@ -171,6 +172,13 @@ def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id") -> DataFrame
     """Replacements for distinct (scope, entity_type, normalized_original, occurrences, first)."""
     record = F.struct("first", "entity_type", "normalized_original", "occurrences")
     ordered = distinct.groupBy(scope).agg(F.array_sort(F.collect_list(record)).alias("records"))
+    each = ordered.select(scope, F.posexplode(settled_records(seed)).alias("first_no", "m"))
+    return each.select(scope, "m.*", "first_no")
+
+
+@remembered
+def settled_records(seed: int) -> Column:
+    """The array ``records``, in order of first appearance, with a replacement for each."""
 
     def settle_one(state: Column, r: Column) -> Column:
         def put(fake: Column) -> Column:
@@ -186,9 +194,7 @@ def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id") -> DataFrame
         used = F.transform(state, lambda s: F.lower(s["replacement"]))
         return let(let(used, lambda u: first_unused(seed, r["entity_type"], r["normalized_original"], u)), put)
 
-    settled = F.aggregate("records", F.array().cast(f"array<{RECORD}>"), settle_one)
-    each = ordered.select(scope, F.posexplode(settled).alias("first_no", "m"))
-    return each.select(scope, "m.*", "first_no")
+    return F.aggregate("records", F.array().cast(f"array<{RECORD}>"), settle_one)
 
 
 def replay_dictionary(mappings: DataFrame, scope: str = "doc_id", unicode: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.memo import remembered
 from cloakwork.functions.spans import find_all, let, piece
 from cloakwork.functions.values import date_of_birth, ipv4_valid, ipv6_valid, luhn_valid, ssn_valid, verhoeff_valid
 from cloakwork.schemas import CANDIDATE, ENTITY_TYPES
@@ -194,8 +195,14 @@ def registry(
     return tuple(r for r in (*RULES, *deny_rules(deny_lists or {}), *names) if r.entity_type in wanted)
 
 
+@remembered
+def candidates_column(text_col: str, rules: tuple[Rule, ...]) -> Column:
+    """All rules' candidates in a text column; null counts as empty."""
+    return candidates_of(F.coalesce(F.col(text_col), F.lit("")), rules)
+
+
 def with_candidates(units: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    return units.withColumn("candidates", candidates_of(F.coalesce(F.col(text_col), F.lit("")), rules))
+    return units.withColumn("candidates", candidates_column(text_col, tuple(rules)))
 
 
 def spans(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.lineage import settle
 from cloakwork.functions.spans import find_all, spliced
 from cloakwork.functions.values import casefold, normalized
 from cloakwork.operators.pseudonyms import mapped, replay_dictionary, replay_patterns
@@ -35,7 +36,8 @@ def first_pass(
 ) -> tuple[DataFrame, DataFrame]:
     """Units with ``redacted``, and the mappings (by document)."""
     found = entity_rows(detect(units, entities=entities, deny_lists=deny_lists, rules=rules), ["doc_id", "unit_no"])
-    mappings = mapped(found, seed, unicode=unicode)
+    found = settle(found)  # read twice: texts are scanned once
+    mappings = settle(mapped(found, seed, unicode=unicode))
     keyed = found.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
     fakes = mappings.select("doc_id", "entity_type", "normalized_original", "replacement")
     return replaced(units, keyed.join(fakes, ["doc_id", "entity_type", "normalized_original"])), mappings
@@ -56,7 +58,7 @@ def replay_hits(texts: DataFrame, mappings: DataFrame, text_col: str = "redacted
 
 def second_pass(first: DataFrame, mappings: DataFrame, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
     """Units with ``redacted`` after the replay, and the mappings with its occurrences added."""
-    hits = replay_hits(first, mappings, unicode=unicode)
+    hits = settle(replay_hits(first, mappings, unicode=unicode))
     keyed = hits.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
     keys = ["doc_id", "entity_type", "normalized_original"]
     fakes = mappings.select(*keys, "replacement")

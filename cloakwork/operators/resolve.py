@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.memo import remembered
 from cloakwork.functions.spans import let, overlaps, piece
-from cloakwork.operators.recognizers import Rule, candidates_of, registry
+from cloakwork.operators.recognizers import Rule, candidates_column, registry
 from cloakwork.schemas import CANDIDATE, ENTITY_TYPES, GENERIC_ORGANIZATIONS
 
 
@@ -37,9 +38,10 @@ def cleaned(text: Column, c: Column) -> Column:
         line = F.when(named, F.substring_index(value, "\n", 1)).otherwise(value)
 
         def bounds(v: Column) -> Column:
-            bare = F.regexp_replace(v, r"(?U)\s+$", "")
-            start = c["start"] + F.char_length(bare) - F.char_length(F.regexp_replace(bare, r"(?U)^\s+", ""))
-            return _with_bounds(c, F.least(start, c["start"] + F.char_length(v)), c["start"] + F.char_length(bare))
+            size = F.char_length(v)
+            left = size - F.char_length(F.regexp_replace(v, r"(?U)^\s+", ""))
+            right = F.char_length(F.regexp_replace(v, r"(?U)\s+$", ""))
+            return _with_bounds(c, c["start"] + left, c["start"] + F.greatest(left, right))
 
         return let(line, bounds)
 
@@ -105,9 +107,13 @@ def detect(
 ) -> DataFrame:
     """``units`` with ``entities``: the resolved spans of each text. Narrow: no shuffle."""
     chosen = registry(deny_lists, entities) if rules is None else rules
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = units.withColumn("__cw_candidates", candidates_of(text, chosen))
-    return found.withColumn("entities", resolved(text, F.col("__cw_candidates"))).drop("__cw_candidates")
+    found = units.withColumn("__cw_candidates", candidates_column(text_col, tuple(chosen)))
+    return found.withColumn("entities", resolved_column(text_col, "__cw_candidates")).drop("__cw_candidates")
+
+
+@remembered
+def resolved_column(text_col: str, candidates_col: str) -> Column:
+    return resolved(F.coalesce(F.col(text_col), F.lit("")), F.col(candidates_col))
 
 
 def entity_rows(detected: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -15,8 +15,11 @@ from cloakwork.functions.values import VERHOEFF_D, VERHOEFF_P, date_of_birth, lu
 from cloakwork.operators import audit, evaluate, pseudonyms, recognizers, redact, validate
 from cloakwork.operators.recognizers import Rule, deny_rules, spans
 from cloakwork.operators.resolve import admitted, detect, entity_rows
-from cloakwork.plans import sql
-from cloakwork.sources.tables import html_units, read, text_units
+from cloakwork.plans import bundle, sql
+from cloakwork.sources import annotations, ooxml, store
+from cloakwork.sources.ooxml import grey_png, package_from
+from cloakwork.sources.tables import html_units, line_units, read, text_units
+from cloakwork.streaming.stream import windowed_counts
 
 SEED = 17
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,3 +501,127 @@ def docs_without_pii(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "lang", "text")
     # The spans of a text are in its own row: the anti join needs no shuffle.
     return detect(docs, rules=CORE_BARE).where(F.size("entities") == 0).groupBy("lang").agg(F.count("*").alias("docs"))
+
+
+# --- Queries whose inputs are made here and that SQL can't express -----------
+
+
+def sample_packages(spark: SparkSession, d: str) -> DataFrame:
+    """A package for each supplier, with a mail address over two runs and an embedded image."""
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("doc_id"), "s_name")
+
+    def build(frames):
+        for frame in frames:
+            made = [
+                package_from(
+                    [["Contact Email: ", f"info{k}", "@example.com", " today."], [f"write INFO{k}@example.com", f" for {name}"]],
+                    {"word/media/image1.png": grey_png(3 + k % 5, 4)},
+                )
+                for k, name in zip(frame["doc_id"], frame["s_name"], strict=True)
+            ]
+            yield frame[["doc_id"]].assign(content=made)
+
+    return rows.mapInPandas(build, "doc_id bigint, content binary")
+
+
+@query(
+    "SELECT CAST(s_suppkey AS BIGINT) AS doc_id, 2 AS units, CAST(2 AS BIGINT) AS occurrences, false AS mail_left, CAST(NULL AS VARCHAR) AS fault FROM supplier"
+)
+def docx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    docs = sample_packages(spark, d)
+    output, mappings = bundle.redact_packages(docs, SEED)
+    texts = ooxml.searchable_values(output).groupBy("doc_id").agg(
+        F.max(F.lower("text").rlike(r"info\d+@example\.com")).alias("mail_left")
+    )
+    units = ooxml.text_units(docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("units"))
+    mails = mappings.where("entity_type = 'EMAIL_ADDRESS'").select("doc_id", "occurrences")
+    faults = ooxml.package_faults(output)
+    return units.join(mails, "doc_id").join(texts, "doc_id").join(faults, "doc_id", "left").select("doc_id", "units", "occurrences", "mail_left", "fault")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(3 + s_suppkey % 5 AS INT) AS width, 4 AS height, CAST(NULL AS VARCHAR) AS problem FROM supplier")
+def image_neutralize(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes stay, bytes go: the samples' grey pictures are first made white."""
+    docs = ooxml.media(sample_packages(spark, d))
+
+    def swap(frames):
+        for frame in frames:
+            # A placeholder replaces other bytes than its own: note them beside the picture.
+            yield frame.assign(content=[bytes(c) + b"comment" for c in frame["content"]])
+
+    def neutral(frames):
+        for frame in frames:
+            yield frame.assign(content=[ooxml.neutral_image(bytes(c)) for c in frame["content"]])
+
+    schema = docs.schema
+    before = docs.mapInPandas(swap, schema)
+    after = before.mapInPandas(neutral, schema)
+    problems = validate.media_violations(before, after)
+    return after.join(problems, ["doc_id", "name"], "left").select("doc_id", "width", "height", "problem")
+
+
+@query(MAPPING_SQL + " SELECT doc_id, entity_type, original, normalized_original, replacement, occurrences FROM maps")
+def seal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings sealed by document, opened and read again."""
+    mappings = core_mappings(spark, d)
+    metadata = mappings.select("doc_id").distinct().select(
+        "doc_id", *[F.lit(v).alias(k) for k, v in (("source_sha256", "s"), ("output_sha256", None), ("config_version", "1"), ("model_version", "rules-1"), ("schema_version", "1"))]
+    )
+    key = store.MappingKey("MDEyMzQ1Njc4OWFiY2RlZjAxMjM0NTY3ODlhYmNkZWY=")
+    again = store.read_mappings(store.opened(store.sealed(store.documents(mappings, metadata), key), key))
+    return again.drop("metadata")
+
+
+@query(
+    "SELECT 'd' AS dataset, 2 AS tp, 1 AS fp, 1 AS fn, 1 AS leaked, round(2/3, 4) AS f2"
+)
+def annotated_example(spark: SparkSession, d: str) -> DataFrame:
+    """The worked example: three gold spans by value, three predictions, one wrong."""
+    text = "Alice emailed alice@example.com from 192.0.2.1."
+    listed = [("PERSON", "Alice", 1), ("EMAIL_ADDRESS", "alice@example.com", 1), ("IP_ADDRESS", "192.0.2.1", 1)]
+    rows = spark.createDataFrame([("d", "1", text, listed)], "dataset string, case_id string, text string, entities array<struct<entity_type:string,value:string,occurrence:int>>")
+    pred = spark.createDataFrame(
+        [("d", "1", "PERSON", 0, 5), ("d", "1", "EMAIL_ADDRESS", 14, 31), ("d", "1", "PHONE_NUMBER", 32, 36)],
+        "dataset string, case_id string, entity_type string, start int, end int",
+    )
+    scores = evaluate.entity_metrics(annotations.gold(rows), pred).where("dataset = 'd' and entity_type is null")
+    ints = [F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "leaked")]
+    return scores.select("dataset", *ints, F.round("f2", 4).alias("f2"))
+
+
+@query(
+    "SELECT event_type AS entity_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, count(*) AS spans FROM events GROUP BY ALL"
+)
+def windowed_span_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's tumbling windows on a bounded table, where the watermark drops nothing."""
+    events = read(spark, d, "events").select(F.col("ts"), F.col("event_type").alias("entity_type"))
+    counts = windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(MAPPING_SQL + " SELECT doc_id, CAST(sum(occurrences) AS BIGINT) AS total_entities, count(*) AS unique_mappings FROM maps GROUP BY doc_id")
+def document_audits(spark: SparkSession, d: str) -> DataFrame:
+    return audit.document_audits(core_mappings(spark, d)).select("doc_id", "total_entities", "unique_mappings")
+
+
+@query(
+    MAPPING_SQL + ", text AS (SELECT string_agg(lower(entity_type), ' ') AS t FROM maps), "
+    "v AS (SELECT original AS value FROM maps UNION SELECT replacement FROM maps) SELECT value FROM v, text WHERE len(trim(value)) >= 5 AND strpos(t, lower(value)) > 0"
+)
+def audit_leak_check(spark: SparkSession, d: str) -> DataFrame:
+    """Values that an audit of type names would tell: none."""
+    return validate.audit_leaks(" ".join(CORE_TYPES), core_mappings(spark, d))
+
+
+@query("SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS unit_no FROM documents)")
+def line_text_units(spark: SparkSession, d: str) -> DataFrame:
+    return line_units(read(spark, d, "documents")).select("doc_id", "unit_no", "text")
+
+
+@query("SELECT doc_id, sha256(text) AS expected, sha256(upper(text)) AS found FROM documents WHERE text <> upper(text) AND doc_id % 50 = 0")
+def hash_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that changed against their recorded hash: every fiftieth was changed."""
+    docs = read(spark, d, "documents")
+    before = docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
+    changed = F.when(F.col("doc_id") % 50 == 0, F.upper("text")).otherwise(F.col("text"))
+    return validate.hash_mismatches(before, docs.select("doc_id", F.sha2(changed, 256).alias("sha256")))
