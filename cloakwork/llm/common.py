@@ -6,7 +6,6 @@ other extra columns. An operator's output column replaces an input column of the
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,16 +39,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names.
+#: Bits of the filter below: a megabyte in every executor, whatever the data.
+FILTER_BITS = 1 << 23
 
-    A folder of our own is set only where the session has none, as in tests.
+
+def possibly_in(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``col`` isn't among ``wanted``'s only column.
+
+    A bitmap of hashed values, of fixed size, goes to all executors. It lets all wanted rows pass
+    and few others, so that a join by ``col`` need not shuffle the rest.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cloakwork-checkpoint-"))
-    return df.checkpoint()
+    spread = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(FILTER_BITS))
+    bitmaps = wanted.select(spread.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__cw_slot"))
+    bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__cw_bits"))
+    own = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.call_function("substring", F.col("__cw_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    bit = F.call_function("shiftright", byte.cast("int"), F.pmod(place, F.lit(8)).cast("int"))
+    found = bit.bitwiseAND(F.lit(1)) == 1
+    joined = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("__cw_slot"))
+    return joined.where(found).drop("__cw_slot", "__cw_bits")
 
 
 def bucket_count(n_rows: int, per_bucket: int = 2000, most: int = 65536) -> int:

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import WORD_GAP, ascii_lower, settle, split_words, table, without
+from cloakwork.functions.lineage import settle
+from cloakwork.llm.common import WORD_GAP, ascii_lower, split_words, table, without
 
 WINDOW = 10
 #: About 100 bytes each: 40 MB at most in every executor.

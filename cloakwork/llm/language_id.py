@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import ascii_lower, seeded_key, settle, table
+from cloakwork.functions.lineage import settle
+from cloakwork.llm.common import ascii_lower, seeded_key, table
 from cloakwork.llm.textbytes import TO_LOWER, blocks
 from cloakwork.llm.url_filters import host_of
 

@@ -9,9 +9,10 @@
    most buckets over all bands. A pair goes on if the Jaccard that its registers estimate,
    corrected for chance collisions, is within five standard deviations of the threshold, and
    is confirmed on the full sets.
-4. Connected components of the confirmed links. Only in buckets whose members are still in
-   several components are the pairs between components tested in the same way, which can
-   lose no link between different texts; groups of near copies collapse before that.
+4. Connected components of the confirmed links. Where members around one pivot are still in
+   several components, pairs between components are formed by a prefix filter with places:
+   exact, so it loses no link between different texts, and it forms no pairs of copies that
+   each have words enough of their own. These pairs are tested alike.
 
 Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are kept;
 rows that share a doc_id are judged by their own text and kept or dropped by the id; a null doc_id
@@ -20,12 +21,15 @@ is kept only where its whole component has none; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import settle, table, without
+from cloakwork.functions.lineage import settle
+from cloakwork.llm.common import possibly_in, table, without
 from cloakwork.llm.textbytes import BASE, TO_LOWER, blocks, mixed, shingles, words
 
 SHINGLE = 4
@@ -104,7 +108,7 @@ def set_digests(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, regs, bands) of each row; ``node`` is the digest of its set."""
+    """(id, n_shingles, node, bands) of each row; ``node`` is the digest of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches):
@@ -114,20 +118,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n = past - first
                 hashes, row, _ = words(TO_LOWER[data], bounds)
                 hashes, row = shingles(hashes, row, n, SHINGLE)
-                regs = registers(hashes, row, n)
-                keys = bands(regs)
+                keys = bands(registers(hashes, row, n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, n),
                         pa.array(np.bincount(row, minlength=n)),
                         pa.array(set_digests(hashes, row, n), pa.binary()),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()),
                     ],
-                    ["id", "n_shingles", "node", "regs", "bands"],
+                    ["id", "n_shingles", "node", "bands"],
                 )
 
-    schema = f"id {id_type}, n_shingles bigint, node binary, regs binary, bands array<bigint>"
+    schema = f"id {id_type}, n_shingles bigint, node binary, bands array<bigint>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(sketch, schema)
 
 
@@ -150,15 +152,17 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(sized).mapInArrow(keep, "a binary, b binary")
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    for first, past, data, bounds in blocks(texts):
+        hashes, row, _ = words(TO_LOWER[data], bounds)
+        hashes, row = shingles(hashes, row, past - first, SHINGLE)
+        yield from np.split(hashes, np.searchsorted(row, np.arange(1, past - first)))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the Jaccard similarity asked for."""
 
-    def shingle_sets(texts):
-        for first, past, data, bounds in blocks(texts):
-            hashes, row, _ = words(TO_LOWER[data], bounds)
-            hashes, row = shingles(hashes, row, past - first, SHINGLE)
-            yield from np.split(hashes, np.searchsorted(row, np.arange(1, past - first)))
-
     def keep(batches):
         for batch in batches:
             linked = []
@@ -172,6 +176,75 @@ def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(keep, "a binary, b binary")
 
 
+def least_overlap(n: int) -> int:
+    """What a set of ``n`` shares at least with any set that is that similar to it."""
+    return -(-PERCENT * n // 100)
+
+
+def leading(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int]:
+    """The hashes of a set that its pivot lacks, and if these are fewer than its prefix has, the
+    first of the others; and how many the pivot lacks."""
+    shared = np.isin(own, pivot, assume_unique=True)
+    apart = own[~shared]
+    more = max(0, len(own) - least_overlap(len(own)) + 1 - len(apart))
+    others = np.sort(own[shared].view(np.int64))[:more]  # in the order of SQL, which is signed
+    return np.concatenate([apart.view(np.int64), others]), len(apart)
+
+
+def leading_tokens(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pivot, node, token, late): by pivot, the hashes that can be in a node's prefix."""
+
+    def extract(batches):
+        for batch in batches:
+            found = [leading(one, other) for one, other in zip(*(shingle_sets(batch.column(c)) for c in ("text_a", "text_b")), strict=True)]
+            sizes = [len(x) for x, _ in found]
+            at = pa.array(np.repeat(np.arange(len(found)), sizes))
+            tokens = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+            late = np.concatenate([np.arange(len(x)) >= n for x, n in found]) if found else np.zeros(0, bool)
+            columns = [batch.column("pivot").take(at), batch.column("node").take(at), pa.array(tokens), pa.array(late)]
+            yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "token", "late"])
+
+    a = nodes.select("node", F.col("text").alias("text_a"))
+    b = nodes.select(F.col("node").alias("pivot"), F.col("text").alias("text_b"))
+    return edges.join(a, "node").join(b, "pivot").mapInArrow(extract, "pivot binary, node binary, token bigint, late boolean")
+
+
+def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) around one pivot, in different components, that a prefix filter lets pass.
+
+    All that share a bucket share its pivot. Hashes are put in one order by pivot: those that the
+    pivot lacks, rare ones first, then the others. Two sets that are that similar share a hash
+    among their prefixes, and the places of the first one that they share leave room for the
+    overlap they need. Copies that each have their own ninth or more of other words don't pass.
+    """
+    placed = edges.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_pivots = placed.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pivot")
+    # The pivot itself was tested against all of its members.
+    still_open = placed.join(mixed_pivots, "pivot").where(F.col("node") != F.col("pivot"))
+    tokens = settle(leading_tokens(still_open.select("pivot", "node"), nodes))
+    rarity = tokens.groupBy("pivot", "token").agg(F.count("*").alias("freq"))
+    # A node has only the first of its late hashes here, so these go by themselves, not by rarity.
+    order = Window.partitionBy("pivot", "node").orderBy("late", F.when(~F.col("late"), F.col("freq")), "token")
+    ranked = tokens.join(rarity, ["pivot", "token"]).withColumn("place", F.row_number().over(order) - 1)
+    known = still_open.select("pivot", "node", "root").join(nodes.select("node", "n_shingles"), "node")
+    in_prefix = F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * PERCENT / 100)
+    rows = settle(ranked.where("freq > 1").join(known, ["pivot", "node"]).where(in_prefix).drop("late", "freq"))
+    crowd = rows.groupBy("pivot", "token", "root").agg(F.count("*").alias("crowd"))
+    largest = crowd.groupBy("pivot", "token").agg(F.max(F.struct("crowd", "root"))["root"].alias("largest"), F.count("*").alias("roots"))
+    shared = rows.join(largest.where("roots > 1").drop("roots"), ["pivot", "token"])
+
+    def side(name: str) -> list:
+        return [F.col(c).alias(f"{c}_{name}") for c in ("node", "root", "n_shingles", "place")]
+
+    # One of a pair is outside of the token's largest component.
+    x = shared.where(F.col("root") != F.col("largest")).select("pivot", "token", *side("x"))
+    y = shared.select("pivot", "token", *side("y"))
+    room = F.least(F.col("n_shingles_x") - F.col("place_x"), F.col("n_shingles_y") - F.col("place_y"))
+    enough = (100 + PERCENT) * room >= PERCENT * (F.col("n_shingles_x") + F.col("n_shingles_y"))
+    pairs = x.join(y, ["pivot", "token"]).where((F.col("root_x") != F.col("root_y")) & enough)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: least label of the neighbours, then of the label's
     own label, until nothing changes; the rounds grow with the logarithm of the longest chain."""
@@ -195,30 +268,25 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wordy = rows.where(F.col("n_shingles") > 0)
     classes = wordy.groupBy("node").agg(F.min("id").alias("least_id"))
     firsts = classes.join(wordy, (classes["node"] == wordy["node"]) & classes["least_id"].eqNullSafe(wordy["id"]))
-    firsts = firsts.select(classes["node"], "least_id", "n_shingles", "regs", "bands")
-    keyed = firsts.select("node", F.explode("bands").alias("key"))
+    keyed = firsts.select(classes["node"], F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     # A repeated (id, text) repeats its class here; distinct leaves one.
     members = settle(keyed.join(crowded, "key").distinct())
     reach = members.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    needed = reach.join(firsts.select("node", "least_id", "n_shingles", "regs"), "node").dropDuplicates(["node"])
-    own = needed.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("least_id").eqNullSafe(F.col("id")))
-    nodes = settle(_of_the_class(own))
-
-    pivots = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("pivot"))
-    stars = members.join(pivots, "key").where(F.col("node") != F.col("pivot"))
+    needed = settle(reach.join(classes, "node"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = possibly_in(texts, "id", needed.select("least_id"))
+    nodes = settle(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id")))))
+
+    pivots = members.join(needed.select("node", "reach"), "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("pivot"))
+    edges = settle(members.join(pivots, "key").select("node", "pivot").distinct())
+    stars = edges.where(F.col("node") != F.col("pivot"))
     stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = settle(confirmed(plausible(stars, nodes), nodes))
     labels = components(links)
 
-    # What pivots left open: pairs of one bucket in different components.
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_members = placed.join(split, "key")
-    a = open_members.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = open_members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    open_pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()
-    untested = open_pairs.join(stars, ["a", "b"], "left_anti")
+    # What the pivots left open: pairs around one pivot in different components.
+    untested = open_pairs(edges, labels, nodes).join(stars, ["a", "b"], "left_anti")
     more = settle(confirmed(plausible(untested, nodes), nodes))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -235,20 +303,22 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _of_the_class(own: DataFrame) -> DataFrame:
-    """One row a node, with the text of its set, also where an id comes with several texts."""
+def of_the_class(own: DataFrame) -> DataFrame:
+    """(node, n_shingles, regs, text): one text of each node's set, also where an id has several."""
 
     def keep(batches):
         for batch in batches:
-            right = []
             for first, past, data, bounds in blocks(batch.column("text")):
+                n = past - first
                 hashes, row, _ = words(TO_LOWER[data], bounds)
-                hashes, row = shingles(hashes, row, past - first, SHINGLE)
-                nodes = batch.column("node").slice(first, past - first).to_pylist()
-                right += [x == y for x, y in zip(nodes, set_digests(hashes, row, past - first), strict=True)]
-            yield batch.filter(pa.array(right, pa.bool_()))
+                hashes, row = shingles(hashes, row, n, SHINGLE)
+                mine = batch.slice(first, n)
+                right = [x == y for x, y in zip(mine.column("node").to_pylist(), set_digests(hashes, row, n), strict=True)]
+                regs = pa.array([r.tobytes() for r in registers(hashes, row, n)], pa.binary())
+                out = [mine.column("node"), pa.array(np.bincount(row, minlength=n)), regs, mine.column("text")]
+                yield pa.RecordBatch.from_arrays(out, ["node", "n_shingles", "regs", "text"]).filter(pa.array(right, pa.bool_()))
 
-    slim = own.select("node", "n_shingles", "regs", "text")
+    slim = own.select("node", "text")
     return slim.mapInArrow(keep, "node binary, n_shingles bigint, regs binary, text string").dropDuplicates(["node"])
 
 

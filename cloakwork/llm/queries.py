@@ -6,6 +6,7 @@ from cloakwork.llm.language_id import op5_language_evidence
 from cloakwork.llm.licenses import op6_license_digests
 from cloakwork.llm.mixing import op3_source_mix
 from cloakwork.llm.near_dedup import op2_hyperminhash_groups
+from cloakwork.llm.oracles import ORACLES
 from cloakwork.llm.quality import op9_pairwise_quality
 from cloakwork.llm.secrets import op1_secret_automaton
 from cloakwork.llm.sharding import op8_interleaved_shards
@@ -26,4 +27,5 @@ QUERIES = {
         op10_url_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
