@@ -187,19 +187,25 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bo
         ends[nfa.add(_reversed(tree) if backward else tree, own)] = rule
     byte_class, members = _byte_classes(nfa)
     first = nfa.closure([start])
-    numbers, todo, table = {first: 0}, [first], []
-    while todo:
-        states = todo.pop(0)
-        row = []
-        for byte in members:
-            reached = {to for s in states for chars, to in nfa.moves[s] if byte in chars}
-            after = nfa.closure(reached | ({start} if anywhere else set()))
+    always = first if anywhere else frozenset()
+    # Sets of NFA states are bit masks; a state's moves by byte class already hold their closure.
+    reach = [sum(1 << x for x in nfa.closure([s])) for s in range(len(nfa.moves))]
+    moves = [[(k, reach[to]) for chars, to in own for k, byte in enumerate(members) if byte in chars] for own in nfa.moves]
+    again, begin = sum(1 << x for x in always), sum(1 << x for x in first)
+    numbers, todo, table = {begin: 0}, [begin], []
+    for states in todo:  # grows as new sets are found
+        row = [again] * len(members)
+        while states:
+            low = states & -states
+            for k, mask in moves[low.bit_length() - 1]:
+                row[k] |= mask
+            states ^= low
+        for after in row:
             if after not in numbers:
                 numbers[after] = len(numbers)
                 todo.append(after)
-            row.append(numbers[after])
-        table.append(row)
-    accept = [sum(1 << r for r in {ends[s] for s in states if s in ends}) for states in numbers]
+        table.append([numbers[after] for after in row])
+    accept = [sum(1 << rule for end, rule in ends.items() if states >> end & 1) for states in numbers]
     return _minimised(np.array(table), np.array(accept), byte_class)
 
 
