@@ -1,6 +1,6 @@
 """Near-duplicate detection with HyperMinHash registers, verified on full shingle sets.
 
-1. Each text's distinct 4-word shingles are hashed; of every one of 256 buckets the least hash
+1. Each text's distinct word shingles (five words unless asked otherwise) are hashed; of every one of 256 buckets the least hash
    is stored as a register of its leading-zero count and ten bits of mantissa. Texts with equal
    sets (a 128-bit digest) form a class, and only classes go on, so exact copies cost nothing.
 2. Registers, empty ones filled from others in a fixed order, are hashed in BANDS bands of
@@ -32,7 +32,7 @@ from cloakwork.functions.lineage import settle
 from cloakwork.llm.common import possibly_in, table, without
 from cloakwork.llm.textbytes import BASE, TO_LOWER, blocks, mixed, shingles, words
 
-SHINGLE = 4
+SHINGLE = 5  # words, by default
 PERCENT = 80
 BUCKET_BITS = 8
 MANTISSA_BITS = 10
@@ -107,7 +107,7 @@ def set_digests(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]
     return [x.tobytes() for x in out]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n_shingles, node, bands) of each row; ``node`` is the digest of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for first, past, data, bounds in blocks(texts):
                 n = past - first
                 hashes, row, _ = words(TO_LOWER[data], bounds)
-                hashes, row = shingles(hashes, row, n, SHINGLE)
+                hashes, row = shingles(hashes, row, n, size)
                 keys = bands(registers(hashes, row, n))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -152,21 +152,21 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(sized).mapInArrow(keep, "a binary, b binary")
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of each text."""
     for first, past, data, bounds in blocks(texts):
         hashes, row, _ = words(TO_LOWER[data], bounds)
-        hashes, row = shingles(hashes, row, past - first, SHINGLE)
+        hashes, row = shingles(hashes, row, past - first, size)
         yield from np.split(hashes, np.searchsorted(row, np.arange(1, past - first)))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the Jaccard similarity asked for."""
 
     def keep(batches):
         for batch in batches:
             linked = []
-            for one, other in zip(*(shingle_sets(batch.column(c)) for c in ("text_a", "text_b")), strict=True):
+            for one, other in zip(*(shingle_sets(batch.column(c), size) for c in ("text_a", "text_b")), strict=True):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 linked.append(100 * both >= PERCENT * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -191,12 +191,12 @@ def leading(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([apart.view(np.int64), others]), len(apart)
 
 
-def leading_tokens(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def leading_tokens(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(pivot, node, token, late): by pivot, the hashes that can be in a node's prefix."""
 
     def extract(batches):
         for batch in batches:
-            found = [leading(one, other) for one, other in zip(*(shingle_sets(batch.column(c)) for c in ("text_a", "text_b")), strict=True)]
+            found = [leading(one, other) for one, other in zip(*(shingle_sets(batch.column(c), size) for c in ("text_a", "text_b")), strict=True)]
             sizes = [len(x) for x, _ in found]
             at = pa.array(np.repeat(np.arange(len(found)), sizes))
             tokens = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
@@ -209,7 +209,7 @@ def leading_tokens(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "node").join(b, "pivot").mapInArrow(extract, "pivot binary, node binary, token bigint, late boolean")
 
 
-def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) around one pivot, in different components, that a prefix filter lets pass.
 
     All that share a bucket share its pivot. Hashes are put in one order by pivot: those that the
@@ -221,7 +221,7 @@ def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
     mixed_pivots = placed.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pivot")
     # The pivot itself was tested against all of its members.
     still_open = placed.join(mixed_pivots, "pivot").where(F.col("node") != F.col("pivot"))
-    tokens = settle(leading_tokens(still_open.select("pivot", "node"), nodes))
+    tokens = settle(leading_tokens(still_open.select("pivot", "node"), nodes, size))
     rarity = tokens.groupBy("pivot", "token").agg(F.count("*").alias("freq"))
     # A node has only the first of its late hashes here, so these go by themselves, not by rarity.
     order = Window.partitionBy("pivot", "node").orderBy("late", F.when(~F.col("late"), F.col("freq")), "token")
@@ -262,9 +262,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each of ``docs``."""
-    rows = settle(sketches(docs, id_col, text_col))
+    rows = settle(sketches(docs, id_col, text_col, size))
     wordy = rows.where(F.col("n_shingles") > 0)
     classes = wordy.groupBy("node").agg(F.min("id").alias("least_id"))
     firsts = classes.join(wordy, (classes["node"] == wordy["node"]) & classes["least_id"].eqNullSafe(wordy["id"]))
@@ -276,18 +276,18 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     needed = settle(reach.join(classes, "node"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = possibly_in(texts, "id", needed.select("least_id"))
-    nodes = settle(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id")))))
+    nodes = settle(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id"))), size))
 
     pivots = members.join(needed.select("node", "reach"), "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("pivot"))
     edges = settle(members.join(pivots, "key").select("node", "pivot").distinct())
     stars = edges.where(F.col("node") != F.col("pivot"))
     stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = settle(confirmed(plausible(stars, nodes), nodes))
+    links = settle(confirmed(plausible(stars, nodes), nodes, size))
     labels = components(links)
 
     # What the pivots left open: pairs around one pivot in different components.
-    untested = open_pairs(edges, labels, nodes).join(stars, ["a", "b"], "left_anti")
-    more = settle(confirmed(plausible(untested, nodes), nodes))
+    untested = open_pairs(edges, labels, nodes, size).join(stars, ["a", "b"], "left_anti")
+    more = settle(confirmed(plausible(untested, nodes), nodes, size))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -303,7 +303,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def of_the_class(own: DataFrame) -> DataFrame:
+def of_the_class(own: DataFrame, size: int) -> DataFrame:
     """(node, n_shingles, regs, text): one text of each node's set, also where an id has several."""
 
     def keep(batches):
@@ -311,7 +311,7 @@ def of_the_class(own: DataFrame) -> DataFrame:
             for first, past, data, bounds in blocks(batch.column("text")):
                 n = past - first
                 hashes, row, _ = words(TO_LOWER[data], bounds)
-                hashes, row = shingles(hashes, row, n, SHINGLE)
+                hashes, row = shingles(hashes, row, n, size)
                 mine = batch.slice(first, n)
                 right = [x == y for x, y in zip(mine.column("node").to_pylist(), set_digests(hashes, row, n), strict=True)]
                 regs = pa.array([r.tobytes() for r in registers(hashes, row, n)], pa.binary())
@@ -322,11 +322,11 @@ def of_the_class(own: DataFrame) -> DataFrame:
     return slim.mapInArrow(keep, "node binary, n_shingles bigint, regs binary, text string").dropDuplicates(["node"])
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose document stays: of each group the one of the least id."""
-    kept = grouped(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__cw_id")).distinct()
+    kept = grouped(docs, id_col, text_col, size).where("kept").select(F.col(id_col).alias("__cw_id")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__cw_id")), "left_semi")
 
 
 def op2_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(without(table(spark, sf_dir, "documents"), *OUTPUTS))
+    return grouped(without(table(spark, sf_dir, "documents"), *OUTPUTS), size=4)

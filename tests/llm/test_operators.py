@@ -65,11 +65,11 @@ def test_more_rules(spark):
 # --- near duplicates ---------------------------------------------------------
 
 
-def brute_components(texts):
+def brute_components(texts, size):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
     home = list(range(len(texts)))
 
     def top(k):
@@ -107,11 +107,12 @@ def near_texts():
     return texts + ["", None, "one", "one", "One two"]
 
 
-def test_near_duplicates_like_brute_force(spark, near_texts):
-    rows = near_dedup.grouped(docs_of(spark, near_texts)).collect()
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_like_brute_force(spark, near_texts, size):
+    rows = near_dedup.grouped(docs_of(spark, near_texts), size=size).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
-    assert [got[k] for k in range(len(near_texts))] == brute_components(near_texts)
-    kept = {r["doc_id"] for r in near_dedup.deduplicated(docs_of(spark, near_texts)).collect()}
+    assert [got[k] for k in range(len(near_texts))] == brute_components(near_texts, size)
+    kept = {r["doc_id"] for r in near_dedup.deduplicated(docs_of(spark, near_texts), size=size).collect()}
     assert kept == {c for _, c in got.values()}
 
 
@@ -121,8 +122,8 @@ def test_prefix_filter_loses_nothing(spark, near_texts, monkeypatch):
     seen = {}
     real = near_dedup.open_pairs
 
-    def spy(edges, labels, nodes):
-        seen["edges"], seen["pairs"], seen["nodes"] = edges, real(edges, labels, nodes), nodes
+    def spy(edges, labels, nodes, size):
+        seen["edges"], seen["pairs"], seen["nodes"] = edges, real(edges, labels, nodes, size), nodes
         return seen["pairs"]
 
     monkeypatch.setattr(near_dedup, "open_pairs", spy)
