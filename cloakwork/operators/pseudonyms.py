@@ -126,26 +126,34 @@ GENERATORS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def generated(seed: int, entity_type: Column, value: Column, attempt: Column) -> Column:
-    """The fake for a normal form at an attempt; an unknown type is an error."""
+Generator = Callable[[Column, Column], Column]
+Overrides = tuple[tuple[str, Generator], ...]
+
+
+def generated(seed: int, entity_type: Column, value: Column, attempt: Column, overrides: Overrides = ()) -> Column:
+    """The fake for a normal form at an attempt; an unknown type is an error.
+
+    ``overrides`` name other generators for some types: functions of the seed's number and the
+    normal form, as columns.
+    """
 
     def fake(n: Column) -> Column:
         chosen = F
-        for name, make in GENERATORS.items():
+        for name, make in (GENERATORS | dict(overrides)).items():
             chosen = chosen.when(entity_type == name, make(n, value))
         return chosen.otherwise(F.raise_error(F.concat(F.lit("unsupported entity type: "), entity_type)).cast("string"))
 
     return let(seed_hash(seed, entity_type, value, attempt), fake)
 
 
-def first_unused(seed: int, entity_type: Column, value: Column, used: Column) -> Column:
+def first_unused(seed: int, entity_type: Column, value: Column, used: Column, overrides: Overrides = ()) -> Column:
     """The first attempt's fake that ``used`` (lower case) lacks and that isn't the value itself."""
 
     def free(fake: Column) -> Column:
         return ~F.array_contains(used, F.lower(fake)) & (F.lower(fake) != value)
 
     tiers = [
-        F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: generated(seed, entity_type, value, k)), free), F.lit(0))
+        F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: generated(seed, entity_type, value, k, overrides)), free), F.lit(0))
         for a, b in TIERS
     ]
     none = F.raise_error(F.concat(F.lit("could not generate a unique replacement for "), entity_type)).cast("string")
@@ -155,7 +163,14 @@ def first_unused(seed: int, entity_type: Column, value: Column, used: Column) ->
 RECORD = "struct<entity_type:string,original:string,normalized_original:string,replacement:string,occurrences:bigint>"
 
 
-def mapped(rows: DataFrame, seed: int, scope: str = "doc_id", order: tuple[str, ...] = ("unit_no", "start"), unicode: bool = True) -> DataFrame:
+def mapped(
+    rows: DataFrame,
+    seed: int,
+    scope: str = "doc_id",
+    order: tuple[str, ...] = ("unit_no", "start"),
+    unicode: bool = True,
+    overrides: Overrides = (),
+) -> DataFrame:
     """(scope, entity_type, original, normalized_original, replacement, occurrences, first_no).
 
     ``rows`` has a row for each resolved span (scope, order..., entity_type, value). One
@@ -165,19 +180,19 @@ def mapped(rows: DataFrame, seed: int, scope: str = "doc_id", order: tuple[str,
     distinct = keyed.groupBy(scope, "entity_type", "normalized_original").agg(
         F.count("*").alias("occurrences"), F.min(F.struct(*order, "value")).alias("first")
     )
-    return assigned(distinct, seed, scope)
+    return assigned(distinct, seed, scope, overrides)
 
 
-def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id") -> DataFrame:
+def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id", overrides: Overrides = ()) -> DataFrame:
     """Replacements for distinct (scope, entity_type, normalized_original, occurrences, first)."""
     record = F.struct("first", "entity_type", "normalized_original", "occurrences")
     ordered = distinct.groupBy(scope).agg(F.array_sort(F.collect_list(record)).alias("records"))
-    each = ordered.select(scope, F.posexplode(settled_records(seed)).alias("first_no", "m"))
+    each = ordered.select(scope, F.posexplode(settled_records(seed, overrides)).alias("first_no", "m"))
     return each.select(scope, "m.*", "first_no")
 
 
 @remembered
-def settled_records(seed: int) -> Column:
+def settled_records(seed: int, overrides: Overrides = ()) -> Column:
     """The array ``records``, in order of first appearance, with a replacement for each."""
 
     def settle_one(state: Column, r: Column) -> Column:
@@ -192,11 +207,23 @@ def settled_records(seed: int) -> Column:
             return F.concat(state, F.array(done)).cast(f"array<{RECORD}>")
 
         used = F.transform(state, lambda s: F.lower(s["replacement"]))
-        return let(let(used, lambda u: first_unused(seed, r["entity_type"], r["normalized_original"], u)), put)
+        return let(let(used, lambda u: first_unused(seed, r["entity_type"], r["normalized_original"], u, overrides)), put)
 
     return F.aggregate("records", F.array().cast(f"array<{RECORD}>"), settle_one)
 
 
+def existing_replacements(rows: DataFrame, mappings: DataFrame, scope: str = "doc_id", unicode: bool = True) -> DataFrame:
+    """``rows`` (scope, entity_type, value) with the replacement each already has; counts stay.
+
+    A value that no mapping knows is an error.
+    """
+    keyed = rows.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
+    keys = [scope, "entity_type", "normalized_original"]
+    found = keyed.join(mappings.select(*keys, "replacement"), keys, "left")
+    unknown = F.raise_error(F.concat(F.lit("no mapping for a value of type "), F.col("entity_type"))).cast("string")
+    return found.withColumn("replacement", F.coalesce("replacement", unknown))
+
+
 def replay_dictionary(mappings: DataFrame, scope: str = "doc_id", unicode: bool = True) -> DataFrame:
     """(scope, key, entity_type): known originals that may be replaced wherever they stand.
 

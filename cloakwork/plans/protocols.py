@@ -1,0 +1,45 @@
+"""What a part of the engine must do to be put in the place of another."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from pathlib import Path
+from typing import Protocol
+
+from pyspark.sql import DataFrame
+
+
+class Detector(Protocol):
+    """Units with a text column in, the same with ``entities`` (resolved spans) out."""
+
+    def __call__(self, units: DataFrame, text_col: str = "text", entities: Sequence[str] | None = None) -> DataFrame: ...
+
+
+class Registry(Protocol):
+    """Resolved spans with their values in, mappings by document out."""
+
+    def __call__(self, rows: DataFrame, seed: int) -> DataFrame: ...
+
+
+class TextPseudonymizer(Protocol):
+    """Units in; redacted units and mappings out."""
+
+    def __call__(self, units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]: ...
+
+
+class DocumentRedactor(Protocol):
+    """Packages (doc_id, content) and replacements by unit in, packages out."""
+
+    def __call__(self, docs: DataFrame, replaced_units: DataFrame) -> DataFrame: ...
+
+
+class Validation(Protocol):
+    """Source, output and mappings in; the names of failed checks out."""
+
+    def __call__(self, source: DataFrame, output: DataFrame, mappings: DataFrame) -> list[str]: ...
+
+
+class Publisher(Protocol):
+    """A directory that ``build`` fills, published whole or not at all."""
+
+    def __call__(self, destination: Path, build: Callable[[Path], None]) -> Path: ...

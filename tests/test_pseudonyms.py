@@ -129,3 +129,17 @@ def test_find_all_and_splice_like_python(spark):
     for r in df.select("t", hits.alias("h"), put.alias("p")).collect():
         assert [(h["start"], h["end"], h["value"]) for h in r["h"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[ab]+1?", r["t"])]
         assert r["p"] == re.sub(r"[ab]+1?", "<x>", r["t"])
+
+
+def test_peeking_and_own_generators(spark):
+    from cloakwork.operators.pseudonyms import existing_replacements
+
+    spans = spark.createDataFrame([(1, 0, 0, "IN_PAN", "AAAPA1234A"), (1, 0, 20, "IN_PAN", "aaapa1234a")], ROWS)
+    own = (("IN_PAN", lambda n, value: F.concat(F.lit("PAN-"), (n % 7).cast("string"), F.lit("-"), F.upper(value))),)
+    maps = mapped(spans, 5, overrides=own)
+    fake = maps.first()["replacement"]
+    assert re.fullmatch(r"PAN-\d-AAAPA1234A", fake) and maps.count() == 1
+    assert {r["replacement"] for r in existing_replacements(spans, maps).collect()} == {fake}
+    other = spark.createDataFrame([(1, 0, 0, "IN_PAN", "BBBPB1234B")], ROWS)
+    with pytest.raises(Exception, match="no mapping"):
+        existing_replacements(other, maps).collect()
