@@ -16,7 +16,6 @@ repeated rows count each time and repeat their result; an empty table gives no r
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,8 +203,3 @@ def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = with_text_scores(pages.unionByName(docs), model, "__cw_text")
     return fused(rows, model.languages).select("doc_id", "page_id", "host", "declared", "text_lang", "lang", "confidence")
-
-
-def plain_text(html: str) -> str:
-    """The visible text of one page, as the tests' brute force."""
-    return re.sub(UNSEEN, " ", html)

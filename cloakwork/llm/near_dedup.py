@@ -35,6 +35,7 @@ from cloakwork.llm.textbytes import BASE, TO_LOWER, blocks, mixed, shingles, wor
 SHINGLE = 5  # words, by default
 PERCENT = 80
 BUCKET_BITS = 8
+BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 40, 5
 OUTPUTS = ("n_shingles", "component_id", "kept")
@@ -88,14 +89,10 @@ def estimated_jaccard(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_o
     used = ((one != 0) | (other != 0)).sum(axis=1)
     equal = ((one == other) & (one != 0)).sum(axis=1)
     unlike = 4 * n_one * n_other / np.maximum((n_one + n_other) ** 2, 1)
-    chance = COLLISIONS * unlike * used / regs_per_set()
+    chance = COLLISIONS * unlike * used / BUCKETS
     return np.maximum(equal - chance, 0) / np.maximum(used, 1), used
 
 
-def regs_per_set() -> int:
-    return 1 << BUCKET_BITS
-
-
 def set_digests(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]:
     """128 bits for the set of each row: wrapped sums of two mixes of its hashes."""
     out = np.zeros((n_rows, 2), np.uint64)
@@ -139,7 +136,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def keep(batches):
         for batch in batches:
             one, other = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, regs_per_set()) for c in ("regs_a", "regs_b")
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b")
             )
             sizes = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             estimate, used = estimated_jaccard(one, other, *sizes)

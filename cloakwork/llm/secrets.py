@@ -13,7 +13,6 @@ points, end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -217,7 +216,3 @@ def spans_by_regex(text: str, rules: tuple[SecretRule, ...] = BASE_RULES) -> lis
             if len(m[r.part].encode()) >= r.least:
                 found.append((m.start(), order, f"{r.kind}:{m.start()}:{m.end()}"))
     return [x[2] for x in sorted(found)]
-
-
-def base_digest(text: str) -> str:
-    return hashlib.sha256(",".join(spans_by_regex(text)).encode()).hexdigest()
