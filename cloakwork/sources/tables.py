@@ -9,8 +9,22 @@ HIDDEN_ELEMENTS = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 TAG = "<[^>]*>"
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXT_TABLES else table
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt evenly over the cores, if the table has no more splits than there are cores.
+
+    A small table may be one row group, which one core would scan alone; a large table, with
+    more splits than cores, is left as it lies.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(2 * cores) if texts.rdd.getNumPartitions() <= cores else texts
 
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
