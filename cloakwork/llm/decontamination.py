@@ -9,7 +9,8 @@ stored: the index holds only what some window reads.
 
 Everything up to the confirmed occurrence is one narrow stage without a shuffle, so a passage
 that a third of all documents share is spread as the documents are. Windows are broadcast only
-up to BROADCAST_WINDOWS; beyond, the same join shuffles.
+up to BROADCAST_BYTES, as measured. Beyond, postings that a bitmap of the anchors lets pass are
+shuffled, each with the few words around it that a window can reach, never with its document.
 
 Defined results: null or wordless text has no words and no hits; rows with equal doc_id are
 judged each by its own text; equal items all count; items without words have no window; an
@@ -18,15 +19,17 @@ empty benchmark leaves every document clean; an empty table gives no rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.functions.lineage import settle
-from cloakwork.llm.common import WORD_GAP, ascii_lower, split_words, table, without
+from cloakwork.llm.common import WORD_GAP, ascii_lower, possibly_in, split_words, table, without
 
 WINDOW = 10
-#: About 100 bytes each: 40 MB at most in every executor.
-BROADCAST_WINDOWS = 400_000
+#: Windows with their words and items take at most so much of every executor.
+BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -35,14 +38,32 @@ def words_of(text: Column) -> Column:
     return split_words(ascii_lower(text), WORD_GAP)
 
 
-def word_frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame) -> DataFrame:
-    """How often each word of ``vocabulary`` (word) stands in the training table."""
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
-    return words.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
+class Extent(NamedTuple):
+    """Of all windows together: the words of the longest, and about the bytes that they take."""
+
+    longest: int
+    n_bytes: int
 
+    @property
+    def small(self) -> bool:
+        return self.n_bytes <= BROADCAST_BYTES
 
-def bounded_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_WINDOWS else df
+
+def extent_of(windows: DataFrame) -> Extent:
+    strings = F.concat("words", "items")
+    each = 64 + 24 * F.size(strings) + F.octet_length(F.array_join(strings, ""))
+    found = windows.agg(F.max(F.size("words")).alias("longest"), F.sum(each.cast("bigint")).alias("n_bytes")).first()
+    return Extent(found["longest"] or 0, found["n_bytes"] or 0)
+
+
+def word_frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame, extent: Extent) -> DataFrame:
+    """How often each word of ``vocabulary`` (word) stands in the training table."""
+    words = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
+    if extent.small:
+        words = words.join(F.broadcast(vocabulary), "word", "left_semi")
+        return words.groupBy("word").agg(F.count("*").alias("freq"))
+    counted = possibly_in(words, "word", vocabulary).groupBy("word").agg(F.count("*").alias("freq"))
+    return counted.join(vocabulary, "word", "left_semi")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -54,50 +75,61 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def anchored(windows: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
-    """Windows by their rarest word, with its place in them; and their number."""
-    n_windows = windows.count()
+def anchored(windows: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame, Extent]:
+    """Windows by their rarest word, with its place in them; and their extent."""
+    extent = extent_of(windows)
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    freq = word_frequencies(docs, text_col, bounded_broadcast(vocabulary, n_windows))
+    freq = word_frequencies(docs, text_col, vocabulary, extent)
     places = windows.select("words", "items", F.posexplode("words").alias("place", "word"))
     rarity = places.join(freq, "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     rarest = F.min(F.struct("freq", "place", "word")).alias("rarest")
     chosen = rarity.groupBy("words").agg(rarest, F.first("items").alias("items"))
     # A window whose rarest word stands nowhere has no occurrence.
     chosen = chosen.where("rarest.freq > 0")
-    return chosen.select(F.col("rarest.word").alias("anchor"), F.col("rarest.place").alias("place"), "words", "items"), n_windows
+    return chosen.select(F.col("rarest.word").alias("anchor"), F.col("rarest.place").alias("place"), "words", "items"), extent
 
 
 def postings(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep..., position, word, words): every word of the table with its position."""
+    """(keep..., doc_words, position, word): every word of the table with its position."""
     listed = docs.select(*keep, words_of(F.col(text_col)).alias("words"))
     return listed.select(*keep, F.col("words").alias("doc_words"), F.posexplode("words").alias("position", "word"))
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, n_windows: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep..., start, end, items): exact occurrences, end exclusive, in words."""
+def at_anchors(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int, text_col: str) -> DataFrame:
+    """Postings of anchors with their windows; ``near`` holds the document's words from the place
+    ``near_first`` on, as far as a window and ``slop`` reach."""
     lists = postings(docs, text_col, keep)
-    start = F.col("position") - F.col("place")
-    exact = (
-        (F.col("word") == F.col("anchor"))
-        & (start >= 0)
-        & (F.slice("doc_words", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    if extent.small:
+        # In one stage with the join, where a posting is not a row of its own: nothing is copied.
+        lists = lists.withColumnsRenamed({"doc_words": "near"}).withColumn("near_first", F.lit(0))
+        return lists.join(F.broadcast(windows), F.col("word") == F.col("anchor"))
+    reach = extent.longest + slop
+    lists = possibly_in(lists, "word", windows.select("anchor"))
+    first = F.greatest(F.col("position") - reach, F.lit(0))
+    lists = lists.select(
+        *keep, "position", "word", F.slice("doc_words", first + 1, F.lit(2 * reach + 1)).alias("near"), first.alias("near_first")
     )
-    hits = lists.join(bounded_broadcast(windows, n_windows), exact)
+    return lists.join(windows, F.col("word") == F.col("anchor"))
+
+
+def occurrences(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(keep..., start, end, items): exact occurrences, end exclusive, in words."""
+    start = F.col("position") - F.col("place")
+    there = F.slice("near", F.greatest(start - F.col("near_first"), F.lit(0)) + 1, F.size("words"))
+    hits = at_anchors(docs, windows, extent, keep, 0, text_col).where((start >= 0) & (there == F.col("words")))
     return hits.select(*keep, start.alias("start"), (start + F.size("words")).alias("end"), "items")
 
 
 def near_occurrences(
-    docs: DataFrame, windows: DataFrame, n_windows: int, keep: list[str], slop: int = 5, least: float = 0.8, text_col: str = "text"
+    docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int = 5, least: float = 0.8, text_col: str = "text"
 ) -> DataFrame:
     """(keep..., position, share, items): where at least ``least`` of a window's distinct words
     stand within ``slop`` words of where they should, around a posting of its rarest word."""
-    lists = postings(docs, text_col, keep)
     first = F.greatest(F.col("position") - F.col("place") - slop, F.lit(0))
     last = F.col("position") - F.col("place") + F.size("words") + slop
-    around = F.slice("doc_words", first + 1, F.greatest(last - first, F.lit(1)))
+    around = F.slice("near", first - F.col("near_first") + 1, F.greatest(last - first, F.lit(1)))
     share = F.size(F.array_intersect(around, "words")) / F.size(F.array_distinct("words"))
-    hits = lists.join(bounded_broadcast(windows, n_windows), (F.col("word") == F.col("anchor")) & (share >= least))
+    hits = at_anchors(docs, windows, extent, keep, slop, text_col).where(share >= least)
     return hits.select(*keep, "position", share.alias("share"), "items")
 
 
@@ -105,11 +137,11 @@ def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    windows, n_windows = anchored(benchmark_windows(benchmark), docs, text_col)
+    windows, extent = anchored(benchmark_windows(benchmark), docs, text_col)
     windows = settle(windows)  # a bounded table; its scan of all documents isn't run again
     text = F.coalesce(F.col(text_col), F.lit(""))
     row_key = {"__cw_id": F.col(id_col), "__cw_text": F.xxhash64(text)}
-    found = occurrences(docs.withColumns(row_key), windows, n_windows, ["__cw_id", "__cw_text"], text_col)
+    found = occurrences(docs.withColumns(row_key), windows, extent, ["__cw_id", "__cw_text"], text_col)
     # Repeated rows have the same occurrences: one of each.
     spans = found.groupBy("__cw_id", "__cw_text", "start", "end").agg(F.first("items").alias("items"))
     reach = Window.partitionBy("__cw_id", "__cw_text").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

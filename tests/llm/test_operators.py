@@ -245,7 +245,9 @@ def test_containment_of_unequal_documents_and_merging(spark):
 # --- decontamination ---------------------------------------------------------
 
 
-def test_benchmark_hits_like_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
+def test_benchmark_hits_like_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
     draw = random.Random(14)
     items = [prose(draw, n) for n in (3, 9, 10, 11, 40, 40)] + ["The the the the the the the the the the the", "", None]
     texts = []
@@ -275,7 +277,9 @@ def test_benchmark_hits_like_brute_force(spark):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r["contaminated"] == bool(hit)
 
 
-def test_proximity_matches(spark):
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
+def test_proximity_matches(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     docs = docs_of(spark, ["x alpha gamma beta delta so epsilon zeta eta theta iota kappa", "alpha only"])
     windows, n = decontamination.anchored(decontamination.benchmark_windows(bench), docs, "text")
