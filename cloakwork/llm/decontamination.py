@@ -58,7 +58,7 @@ def extent_of(windows: DataFrame) -> Extent:
 
 def word_frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame, extent: Extent) -> DataFrame:
     """How often each word of ``vocabulary`` (word) stands in the training table."""
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
+    words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("word"))
     if extent.small:
         words = words.join(F.broadcast(vocabulary), "word", "left_semi")
         return words.groupBy("word").agg(F.count("*").alias("freq"))
@@ -90,9 +90,13 @@ def anchored(windows: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFr
 
 
 def postings(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep..., doc_words, position, word): every word of the table with its position."""
+    """(keep..., doc_words, position, word): every word of the table with its position.
+
+    Documents without words have one null word, which no join takes: a plain explode would
+    first filter by the number of words, and so cut every text twice.
+    """
     listed = docs.select(*keep, words_of(F.col(text_col)).alias("words"))
-    return listed.select(*keep, F.col("words").alias("doc_words"), F.posexplode("words").alias("position", "word"))
+    return listed.select(*keep, F.col("words").alias("doc_words"), F.posexplode_outer("words").alias("position", "word"))
 
 
 def at_anchors(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int, text_col: str) -> DataFrame:
