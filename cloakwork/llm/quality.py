@@ -4,7 +4,8 @@ A document's strength is a weighted sum of features of its bytes and words. The
 from preference pairs (a document labelled 1 beats one labelled 0) by the logistic loss of the
 feature differences; the cut is the quantile of the strengths in the sample that the share of
 rejected labels names. The fit uses at most SAMPLE labelled rows, chosen by digest, and PAIRS
-pairs, on the driver; every document is scored where it lies, without a shuffle.
+pairs, on the driver; every document is scored where it lies, without a shuffle. Of rows that
+share a labelled id the fit reads the least text, so that they can't outgrow the bound.
 
 Defined results: null counts as empty, and empty texts are scored by their features (all 0);
 labels that are null are left out; without labels of both kinds every score is 0.7, so nothing is
@@ -138,8 +139,10 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         F.col("__cw_label").isin(0, 1) & F.col("__cw_id").isNotNull() & ~held_out(F.col("__cw_id"))
     )
     chosen = usable.orderBy(seeded_key("quality", F.col("__cw_id")), "__cw_id", "__cw_label").limit(SAMPLE)
-    labelled = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__cw_id"))
-    rows = with_features(labelled, ["__cw_id", "__cw_label"], text_col).toPandas().sort_values(["__cw_id", "__cw_label"])
+    texts = docs.select(F.col(id_col).alias("__cw_of"), F.coalesce(F.col(text_col), F.lit("")).alias("__cw_text"))
+    labelled = texts.join(F.broadcast(chosen.distinct()), F.col("__cw_of") == F.col("__cw_id"))
+    labelled = labelled.groupBy("__cw_id", "__cw_label").agg(F.min("__cw_text").alias("__cw_text"))
+    rows = with_features(labelled, ["__cw_id", "__cw_label"], "__cw_text").toPandas().sort_values(["__cw_id", "__cw_label"])
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
     return fit(x, rows["__cw_label"].to_numpy())
 

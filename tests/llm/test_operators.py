@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -299,6 +300,16 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(good.to_numpy()[:, None] > bad.to_numpy()) > 0.97
 
 
+def test_fit_is_bounded_where_an_id_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, label: seen.append(len(label)))
+    docs = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('some words ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, None)], "doc_id long, quality int")
+    quality.learned(docs, labels)
+    usable = [k for k in (0, 1) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen == [len(usable)] and usable
+
+
 def test_ranking_learns_an_order():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(400, 4))
