@@ -125,8 +125,11 @@ def best_of(scores: Column, languages: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, languages)), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
-def host_priors(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(host, log_prior): counts of the languages that texts speak for, smoothed along the address."""
+def host_priors(rows: DataFrame, languages: tuple[str, ...], whole: list[float]) -> DataFrame:
+    """(host, log_prior): counts of the languages that texts speak for, smoothed along the address.
+
+    ``whole`` holds the counts of all rows.
+    """
     counts = [F.sum((F.col("text_lang") == x).cast("double")) for x in languages]
     hosts = rows.groupBy("host", "domain", "suffix").agg(F.array(*counts).alias("n"))
 
@@ -139,10 +142,8 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         return F.zip_with(counts, prior, lambda n, p: (n + SMOOTHING * p) / (total + SMOOTHING))
 
     flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
-    suffixes = above(["suffix"], "n_suffix")
-    whole = above([], "n_all")
-    # One row of counts for the corpus.
-    suffixes = suffixes.join(F.broadcast(whole), F.lit(True)).select("suffix", smoothed("n_suffix", smoothed("n_all", flat)).alias("p_suffix"))
+    corpus = smoothed(F.array(*map(F.lit, whole)), flat)
+    suffixes = above(["suffix"], "n_suffix").select("suffix", smoothed("n_suffix", corpus).alias("p_suffix"))
     domains = above(["domain", "suffix"], "n_domain").join(suffixes, "suffix")
     domains = domains.select("domain", "suffix", smoothed("n_domain", F.col("p_suffix")).alias("p_domain"))
     joined = hosts.join(domains, ["domain", "suffix"])
@@ -163,17 +164,21 @@ def fused(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
             }
         )
     )
-    agree = named.where(F.col("declared").isin(*languages)).agg(
-        F.sum((F.col("declared") == F.col("text_lang")).cast("double")).alias("agree"), F.count("*").alias("n")
+    known = F.col("declared").isin(*languages)
+    totals = named.agg(
+        F.count_if(known & (F.col("declared") == F.col("text_lang"))).alias("agree"),
+        F.count_if(known).alias("n"),
+        *[F.count_if(F.col("text_lang") == x).cast("double").alias(f"n_{k}") for k, x in enumerate(languages)],
     ).first()
-    trust = ((agree["agree"] or 0.0) + 1) / (agree["n"] + 2)
+    trust = (totals["agree"] + 1) / (totals["n"] + 2)
+    whole = [totals[f"n_{k}"] for k in range(len(languages))]
     for_declared = [
         F.when(F.col("declared") == x, F.lit(float(np.log(trust))))
         .when(F.col("declared").isin(*languages), F.lit(float(np.log((1 - trust) / max(len(languages) - 1, 1)))))
         .otherwise(F.lit(0.0))
         for x in languages
     ]
-    with_prior = named.join(host_priors(named, languages), "host")
+    with_prior = named.join(host_priors(named, languages, whole), "host")
     total = F.zip_with(F.zip_with("text_scores", F.array(*for_declared), lambda a, b: a + b), "log_prior", lambda a, b: a + b)
     summed = with_prior.withColumn("__cw_scores", total)
     top = F.array_max("__cw_scores")
