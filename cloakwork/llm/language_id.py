@@ -11,7 +11,8 @@ often a declaration agrees with the text is counted over the whole table.
 
 Defined results: null or empty text leaves the other evidence; without any evidence the
 corpus' prior decides; ties go to the first language by name; null hosts are one host;
-repeated rows count each time and repeat their result; an empty table gives no rows.
+repeated rows count each time and repeat their result; where no document is labelled, the only
+language is UNKNOWN; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ HASH_BITS = 16
 #: Neighbouring trigrams repeat each other's evidence: each counts for this part of itself, and
 #: a text for no more than MOST of them, so that other evidence can still weigh in.
 TEMPER, MOST = 1 / 6, 300.0
+UNKNOWN = "und"
 SMOOTHING = 4.0  # pseudo-counts of the level above
 DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
 UNSEEN = r"(?is)<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;"
@@ -91,7 +93,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     # At most 2 ** HASH_BITS rows a language come to the driver.
     rows = sample.mapInArrow(count, "lang string, at bigint, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
-    names = tuple(sorted(rows["lang"].unique()))
+    names = tuple(sorted(rows["lang"].unique())) or (UNKNOWN,)
     counts = np.full((1 << HASH_BITS, len(names)), 0.5)
     for k, name in enumerate(names):
         mine = rows[rows["lang"] == name]

@@ -102,3 +102,10 @@ def test_language_of_edge_rows(spark):
     out = language_id.fused(scored, model.languages).collect()
     assert len(out) == 5 and {r["lang"] for r in out} <= {"de", "en"} and all(0 < r["confidence"] <= 1 for r in out)
     assert language_id.fused(scored.limit(0), model.languages).count() == 0
+
+
+def test_language_without_labelled_documents(spark, nothing):
+    model = language_id.fit(nothing)
+    rows = spark.createDataFrame([("some text", "en", "x.de"), (None, None, None)], "t string, declared string, host string")
+    out = language_id.fused(language_id.with_text_scores(rows, model, "t"), model.languages).collect()
+    assert [(r["lang"], r["confidence"]) for r in out] == [("und", 1.0)] * 2
