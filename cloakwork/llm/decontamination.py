@@ -7,6 +7,11 @@ them the lists of the other words are intersected, which is to say the words tha
 document at the shifted positions must be the window's. Postings of other words are never
 stored: the index holds only what some window reads.
 
+A proximity match is a stretch of the window's length and 2 * SLOP words more that holds at least
+LEAST of the window's words, repeats counted, in any order. It lacks at most so many words as the
+rest of the window, so of that many and one more it holds one: the postings of these, the rarest,
+find every match. An exact occurrence is a proximity match with a share of 1.
+
 Everything up to the confirmed occurrence is one narrow stage without a shuffle, so a passage
 that a third of all documents share is spread as the documents are. Windows are broadcast only
 up to BROADCAST_BYTES, as measured. Beyond, postings that a bitmap of the anchors lets pass are
@@ -30,8 +35,11 @@ from cloakwork.llm.common import WORD_GAP, ascii_lower, possibly_in, split_words
 WINDOW = 10
 #: Windows with their words and items take at most so much of every executor.
 BROADCAST_BYTES = 64 << 20
+#: A proximity match holds at least this share of a window's words, with so many others on either side.
+SLOP, LEAST = 5, 0.8
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+NEAR_OUTPUTS = ("near_share", "n_near_items", "near_items_sha256", "near_contaminated")
 
 
 def words_of(text: Column) -> Column:
@@ -49,9 +57,15 @@ class Extent(NamedTuple):
         return self.n_bytes <= BROADCAST_BYTES
 
 
-def extent_of(windows: DataFrame) -> Extent:
+def may_lack(words: Column, least: float | None) -> Column:
+    """How many of a window's words a match may lack; none where only exact ones count."""
+    return F.lit(0) if least is None else F.size(words) - F.ceil(F.size(words) * least - 1e-9).cast("int")
+
+
+def extent_of(windows: DataFrame, least: float | None = None) -> Extent:
     strings = F.concat("words", "items")
     each = 64 + 24 * F.size(strings) + F.octet_length(F.array_join(strings, ""))
+    each = each * (may_lack(F.col("words"), least) + 1)
     found = windows.agg(F.max(F.size("words")).alias("longest"), F.sum(each.cast("bigint")).alias("n_bytes")).first()
     return Extent(found["longest"] or 0, found["n_bytes"] or 0)
 
@@ -75,18 +89,22 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def anchored(windows: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame, Extent]:
-    """Windows by their rarest word, with its place in them; and their extent."""
-    extent = extent_of(windows)
+def anchored(windows: DataFrame, docs: DataFrame, text_col: str, least: float | None = LEAST) -> tuple[DataFrame, Extent]:
+    """Windows by as many of their rarest words as a match of at least ``least`` can't all lack;
+    ``place`` is the rarest's in the window, and null at the others. And the windows' extent."""
+    extent = extent_of(windows, least)
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     freq = word_frequencies(docs, text_col, vocabulary, extent)
     places = windows.select("words", "items", F.posexplode("words").alias("place", "word"))
     rarity = places.join(freq, "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    rarest = F.min(F.struct("freq", "place", "word")).alias("rarest")
-    chosen = rarity.groupBy("words").agg(rarest, F.first("items").alias("items"))
-    # A window whose rarest word stands nowhere has no occurrence.
-    chosen = chosen.where("rarest.freq > 0")
-    return chosen.select(F.col("rarest.word").alias("anchor"), F.col("rarest.place").alias("place"), "words", "items"), extent
+    by_rarity = F.sort_array(F.collect_list(F.struct("freq", "place", "word"))).alias("rare")
+    chosen = rarity.groupBy("words").agg(by_rarity, F.first("items").alias("items"))
+    # A word that stands nowhere has no postings, but counts among those that a match may lack.
+    first, tried = F.col("rare")[0], F.slice("rare", 1, may_lack(F.col("words"), least) + 1)
+    there = F.array_distinct(F.transform(F.filter(tried, lambda r: r["freq"] > 0), lambda r: r["word"]))
+    chosen = chosen.select(F.explode(there).alias("anchor"), first.alias("rarest"), "words", "items")
+    place = F.when(F.col("anchor") == F.col("rarest.word"), F.col("rarest.place"))
+    return chosen.select("anchor", place.alias("place"), "words", "items"), extent
 
 
 def postings(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -116,62 +134,125 @@ def at_anchors(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[s
     return lists.join(windows, F.col("word") == F.col("anchor"))
 
 
+def is_exact() -> Column:
+    """Whether the window of a row of at_anchors() stands there word by word."""
+    start = F.col("position") - F.col("place")
+    there = F.slice("near", F.greatest(start - F.col("near_first"), F.lit(0)) + 1, F.size("words"))
+    return F.coalesce((start >= 0) & (there == F.col("words")), F.lit(False))
+
+
 def occurrences(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], text_col: str = "text") -> DataFrame:
     """(keep..., start, end, items): exact occurrences, end exclusive, in words."""
     start = F.col("position") - F.col("place")
-    there = F.slice("near", F.greatest(start - F.col("near_first"), F.lit(0)) + 1, F.size("words"))
-    hits = at_anchors(docs, windows, extent, keep, 0, text_col).where((start >= 0) & (there == F.col("words")))
+    hits = at_anchors(docs, windows.where(F.col("place").isNotNull()), extent, keep, 0, text_col).where(is_exact())
     return hits.select(*keep, start.alias("start"), (start + F.size("words")).alias("end"), "items")
 
 
+def words_around(slop: int) -> Column:
+    """Of rows of at_anchors(): the words of all stretches that hold the posting."""
+    length = F.size("words") + 2 * slop
+    at = F.col("position") - F.col("near_first")
+    first = F.greatest(at - length + 1, F.lit(0))
+    return F.slice("near", first + 1, at + length - first)
+
+
+def best_share(around: Column, words: Column, slop: int) -> Column:
+    """The largest share of ``words``, repeats counted, in a stretch of ``around``."""
+    distinct, length = F.array_distinct(words), F.size(words) + 2 * slop
+
+    def held(stretch: Column) -> Column:
+        def both(word: Column) -> Column:
+            return F.least(*(F.size(F.filter(side, lambda w: w == word)) for side in (words, stretch)))
+
+        repeats = F.aggregate(F.transform(distinct, both), F.lit(0), lambda n, x: n + x)
+        return F.when(F.size(distinct) == F.size(words), F.size(F.array_intersect(stretch, words))).otherwise(repeats)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(around) - length + 1, F.lit(1)))
+    return F.array_max(F.transform(starts, lambda s: held(F.slice(around, s, length)))) / F.size(words)
+
+
 def near_occurrences(
-    docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int = 5, least: float = 0.8, text_col: str = "text"
+    docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int = SLOP, least: float = LEAST, text_col: str = "text"
 ) -> DataFrame:
-    """(keep..., position, share, items): where at least ``least`` of a window's distinct words
-    stand within ``slop`` words of where they should, around a posting of its rarest word."""
-    first = F.greatest(F.col("position") - F.col("place") - slop, F.lit(0))
-    last = F.col("position") - F.col("place") + F.size("words") + slop
-    around = F.slice("near", first - F.col("near_first") + 1, F.greatest(last - first, F.lit(1)))
-    share = F.size(F.array_intersect(around, "words")) / F.size(F.array_distinct("words"))
-    hits = at_anchors(docs, windows, extent, keep, slop, text_col).where(share >= least)
-    return hits.select(*keep, "position", share.alias("share"), "items")
+    """(keep..., position, start, end, share, items): proximity matches, around a posting of one of
+    the window's anchors; start and end are null where the match isn't exact.
+
+    ``windows`` must be anchored for ``least`` or less."""
+    around, words = words_around(slop), F.col("words")
+    possible = F.size(F.array_intersect(around, words)) >= F.size(F.array_distinct(words)) - may_lack(words, least)
+    hits = at_anchors(docs, windows, extent, keep, 2 * slop, text_col).where(possible)
+    start = F.when(is_exact(), F.col("position") - F.col("place"))
+    # A generator, which no later filter passes: shares aren't compiled, and the rows that leave
+    # the compiled stage for them would otherwise each be a copy of the document.
+    hits = hits.select(*keep, "position", "words", "items", start.alias("start"), F.explode(F.array(around)).alias("around"))
+    share = F.when(F.col("start").isNotNull(), F.lit(1.0)).otherwise(best_share(F.col("around"), words, slop))
+    hits = hits.withColumn("share", share).where(F.col("share") >= least - 1e-9)
+    return hits.select(*keep, "position", "start", (F.col("start") + F.size("words")).alias("end"), "share", "items")
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, near: bool = False
 ) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    windows, extent = anchored(benchmark_windows(benchmark), docs, text_col)
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated, by exact occurrences;
+    if ``near``, also the largest share, the items and whether there are any by proximity matches."""
+    windows, extent = anchored(benchmark_windows(benchmark), docs, text_col, LEAST if near else None)
     windows = settle(windows)  # a bounded table; its scan of all documents isn't run again
     text = F.coalesce(F.col(text_col), F.lit(""))
     row_key = {"__cw_id": F.col(id_col), "__cw_text": F.xxhash64(text)}
-    found = occurrences(docs.withColumns(row_key), windows, extent, ["__cw_id", "__cw_text"], text_col)
+    keyed, keep = docs.withColumns(row_key), ["__cw_id", "__cw_text"]
+    if near:
+        found = near_occurrences(keyed, windows, extent, keep, text_col=text_col)
+    else:
+        found = occurrences(keyed, windows, extent, keep, text_col).withColumn("share", F.lit(1.0))
     # Repeated rows have the same occurrences: one of each.
-    spans = found.groupBy("__cw_id", "__cw_text", "start", "end").agg(F.first("items").alias("items"))
+    spans = found.groupBy(*keep, "start", "end", "items").agg(F.max("share").alias("share"))
     reach = Window.partitionBy("__cw_id", "__cw_text").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(reach), F.lit(0))))
     per_doc = (
         spans.withColumn("fresh", fresh)
         .groupBy("__cw_id", "__cw_text")
-        .agg(F.sum("fresh").alias("hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        .agg(
+            F.sum("fresh").alias("hit"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))))).alias("items"),
+            F.array_distinct(F.flatten(F.collect_set("items"))).alias("near_items"),
+            F.max("share").alias("share"),
+        )
     )
-    rows = without(docs, *OUTPUTS).withColumns(row_key | {"n_words": F.regexp_count(text, F.lit(WORD)).cast("bigint")})
+    outputs = OUTPUTS + (NEAR_OUTPUTS if near else ())
+    rows = without(docs, *outputs).withColumns(row_key | {"n_words": F.regexp_count(text, F.lit(WORD)).cast("bigint")})
     rows = rows.withColumnRenamed("__cw_id", "__cw_own_id").withColumnRenamed("__cw_text", "__cw_own_text")
     if not keep_text:
         rows = rows.drop(text_col)
     same = F.col("__cw_own_id").eqNullSafe(F.col("__cw_id")) & (F.col("__cw_own_text") == F.col("__cw_text"))
-    items = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
+    items, near_items = (F.coalesce(F.array_sort(c), F.array().cast("array<string>")) for c in (F.col("__cw_hits.items"), F.col("__cw_hits.near_items")))
+    per_doc = per_doc.select(*keep, F.struct("hit", "items", "near_items", "share").alias("__cw_hits"))
     judged = rows.join(per_doc, same, "left").withColumns(
         {
-            "n_hit": F.coalesce(F.col("hit"), F.lit(0)).cast("bigint"),
+            "n_hit": F.coalesce(F.col("__cw_hits.hit"), F.lit(0)).cast("bigint"),
             "n_items": F.size(items).cast("bigint"),
             "items_sha256": F.sha2(F.array_join(items, ","), 256),
         }
     )
     judged = judged.withColumn("contaminated", F.col("n_hit") > 0)
-    return judged.drop("hit", "items", *[c for c in judged.columns if c.startswith("__cw_")])
+    if near:
+        judged = judged.withColumns(
+            {
+                "near_share": F.coalesce("__cw_hits.share", F.lit(0.0)),
+                "n_near_items": F.size(near_items).cast("bigint"),
+                "near_items_sha256": F.sha2(F.array_join(near_items, ","), 256),
+                "near_contaminated": F.size(near_items) > 0,
+            }
+        )
+    return judged.drop(*[c for c in judged.columns if c.startswith("__cw_")])
 
 
 def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False).select("doc_id", *OUTPUTS)
+
+
+def op7_proximity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_benchmark_hits with its proximity matches, which SQL doesn't express."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False, near=True)
+    return judged.select("doc_id", *OUTPUTS, *NEAR_OUTPUTS)

@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name."""
 
-from cloakwork.llm.decontamination import op7_benchmark_hits
+from cloakwork.llm.decontamination import op7_benchmark_hits, op7_proximity_hits
 from cloakwork.llm.fingerprints import op4_scaled_sketch
 from cloakwork.llm.language_id import op5_language_evidence
 from cloakwork.llm.licenses import op6_license_digests
@@ -22,6 +22,7 @@ QUERIES = {
         op5_language_evidence,
         op6_license_digests,
         op7_benchmark_hits,
+        op7_proximity_hits,
         op8_interleaved_shards,
         op9_pairwise_quality,
         op10_url_rules,

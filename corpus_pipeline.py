@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.decontamination import OUTPUTS as HIT_COLUMNS
+from cloakwork.llm.decontamination import NEAR_OUTPUTS, OUTPUTS
 from cloakwork.llm.decontamination import decontaminated
 from cloakwork.llm.mixing import materialised, mixed
 from cloakwork.llm.near_dedup import deduplicated
@@ -33,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    judged = decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).drop(*HIT_COLUMNS).select(*docs.columns)
+    """Documents without an exact or a proximity match of a window of the benchmark."""
+    judged = decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=True)
+    return judged.where(~F.col("contaminated") & ~F.col("near_contaminated")).drop(*OUTPUTS, *NEAR_OUTPUTS).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,6 +288,39 @@ def test_proximity_matches(spark, monkeypatch, broadcast_bytes):
     assert {r["doc_id"] for r in near.collect()} == {0} and decontamination.occurrences(docs, windows, n, ["doc_id"]).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
+def test_proximity_hits_like_brute_force(spark, monkeypatch, broadcast_bytes):
+    """Also where the window's rarest words stand nowhere, or only elsewhere, in the table."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
+    draw = random.Random(15)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = [passage, "one two two three three three four five six seven".split(), "red green blue".split(), ["the"] * 10]
+    texts = [["no", "kappa", "here", "the", "the"]]
+    for item in items:
+        for _ in range(25):
+            own = list(item)
+            for _ in range(draw.randrange(4)):
+                k = draw.randrange(len(own))
+                own[k : k + draw.randrange(2)] = draw.choice(["x", "x y", "x y z u v w"]).split()
+            texts.append(prose(draw, draw.randrange(4)).replace(".", "").replace(",", "").split() + own + ["end"])
+    texts.append([w for w in passage if w != "kappa"] + ["changed"])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    out = decontamination.decontaminated(docs_of(spark, [" ".join(t) for t in texts]), bench, near=True).collect()
+    seen = set()
+    for r in out:
+        w, found = texts[r["doc_id"]], {}
+        for k, item in enumerate(items):
+            stretches = [Counter(w[i : i + len(item) + 10]) for i in range(len(w))]
+            share = max(sum((Counter(item) & s).values()) for s in stretches) / len(item)
+            if share >= 0.8:
+                found[str(k)] = share
+        assert (r["n_near_items"], r["near_contaminated"]) == (len(found), bool(found))
+        assert r["near_share"] == pytest.approx(max(found.values(), default=0)) and (r["near_contaminated"] or not r["contaminated"])
+        assert r["near_items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        seen.add((r["contaminated"], r["near_contaminated"]))
+    assert seen == {(False, False), (False, True), (True, True)} and [r["near_share"] for r in out if r["doc_id"] == len(texts) - 1] == [0.9]
+
+
 # --- quality -----------------------------------------------------------------
 
 
