@@ -2,10 +2,11 @@
 
 A document's strength is a weighted sum of features of its bytes and words. The weights come
 from preference pairs (a document labelled 1 beats one labelled 0) by the logistic loss of the
-feature differences; the cut is the quantile of the strengths in the sample that the share of
-rejected labels names. The fit uses at most SAMPLE labelled rows, chosen by digest, and PAIRS
-pairs, on the driver; every document is scored where it lies, without a shuffle. Of rows that
-share a labelled id the fit reads the least text, so that they can't outgrow the bound.
+feature differences; the cut is the quantile of the strengths of all usable labelled documents that the
+share of rejected labels among them names. The fit uses at most SAMPLE labelled documents, chosen
+by digest, and PAIRS pairs, on the driver; every document is scored where it lies, without a
+shuffle. Of rows that share a labelled id the fit reads the least text, so that they can't outgrow
+the bound; beyond the bound, such an id counts for the cut with its least strength.
 
 Defined results: null counts as empty, and empty texts are scored by their features (all 0);
 labels that are null are left out; without labels of both kinds every score is 0.7, so nothing is
@@ -14,13 +15,14 @@ rejected; repeated rows repeat their score; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.functions.lineage import settle
 from cloakwork.llm.common import seeded_key, table, without
 from cloakwork.llm.textbytes import blocks, words
 
@@ -134,17 +136,63 @@ def with_features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
-    """Fit on at most SAMPLE labelled rows outside the held-out fold, the first by digest."""
+    """Fit on at most SAMPLE labelled documents outside the held-out fold, the first by digest;
+    the cut is taken over all of them."""
     usable = labels.select(F.col(id_col).alias("__cw_id"), F.col(label_col).alias("__cw_label")).where(
         F.col("__cw_label").isin(0, 1) & F.col("__cw_id").isNotNull() & ~held_out(F.col("__cw_id"))
     )
+    ids = docs.select(F.col(id_col).alias("__cw_id"))
+    usable = usable.distinct().join(ids, "__cw_id", "left_semi")
     chosen = usable.orderBy(seeded_key("quality", F.col("__cw_id")), "__cw_id", "__cw_label").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("__cw_of"), F.coalesce(F.col(text_col), F.lit("")).alias("__cw_text"))
-    labelled = texts.join(F.broadcast(chosen.distinct()), F.col("__cw_of") == F.col("__cw_id"))
+    labelled = texts.join(F.broadcast(chosen), F.col("__cw_of") == F.col("__cw_id"))
     labelled = labelled.groupBy("__cw_id", "__cw_label").agg(F.min("__cw_text").alias("__cw_text"))
     rows = with_features(labelled, ["__cw_id", "__cw_label"], "__cw_text").toPandas().sort_values(["__cw_id", "__cw_label"])
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
-    return fit(x, rows["__cw_label"].to_numpy())
+    model = fit(x, rows["__cw_label"].to_numpy())
+    if len(rows) < SAMPLE or rows["__cw_label"].nunique() < 2:
+        return model
+    return replace(model, cut=cut_over(docs, usable, model, id_col, text_col))
+
+
+def cut_over(docs: DataFrame, usable: DataFrame, model: Ranking, id_col: str, text_col: str) -> float:
+    """The quantile of the strengths of all labelled documents that the share of rejected labels names."""
+
+    def strengths(batches):
+        for batch in batches:
+            for first, past, data, bounds in blocks(batch.column(0)):
+                ids = batch.column(1).slice(first, past - first)
+                yield pa.RecordBatch.from_arrays([pa.array(features(data, bounds) @ model.weights), ids], ["v", "__cw_id"])
+
+    source = docs.select(F.col(text_col).alias("__cw_text"), F.col(id_col).alias("__cw_id"))
+    each = source.mapInArrow(strengths, f"v double, __cw_id {source.schema['__cw_id'].dataType.simpleString()}")
+    each = each.groupBy("__cw_id").agg(F.min("v").alias("v"))
+    values = settle(each.join(usable, "__cw_id").select("v", "__cw_label"))
+    n, bad = values.agg(F.count("*"), F.count(F.when(F.col("__cw_label") == 0, 1))).first()
+    return exact_quantile(values, n, bad / n)
+
+
+def exact_quantile(values: DataFrame, n: int, share: float, n_bins: int = 1024) -> float:
+    """np.quantile of column v with ``n`` rows: the two ranks around it are found by narrowing
+    ranges, of which only counts and bounds reach the driver."""
+    rank, part = divmod((n - 1) * share, 1)
+    rank, below = int(rank), 0
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    while lo < hi:
+        inside = values.where(F.col("v").between(lo, hi))
+        place = F.least(F.floor((F.col("v") - lo) / (hi - lo) * n_bins), F.lit(n_bins - 1))
+        bins = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = bins.orderBy("bin").collect()
+        k = 0
+        while below + bins[k]["n"] <= rank:
+            below += bins[k]["n"]
+            k += 1
+        if part and rank + 1 == below + bins[k]["n"]:
+            if k + 1 < len(bins):
+                # The next rank lies in the next range: the two are neighbours across the boundary.
+                return bins[k]["hi"] + (bins[k + 1]["lo"] - bins[k]["hi"]) * part
+        lo, hi = bins[k]["lo"], bins[k]["hi"]
+    return lo
 
 
 def scored(docs: DataFrame, model: Ranking, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

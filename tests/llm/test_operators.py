@@ -343,6 +343,32 @@ def test_fit_is_bounded_where_an_id_repeats(spark, monkeypatch):
     assert seen == [len(usable)] and usable
 
 
+def test_cut_is_taken_over_all_labels(spark, monkeypatch):
+    """Also beyond the sample; repeated labels and labels of absent documents take no places."""
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    draw = random.Random(16)
+    texts = [prose(draw, 30) + " #!" * draw.randrange(1 + 6 * (k % 3 == 0)) for k in range(400)]
+    docs = docs_of(spark, texts)
+    rows = [(k, int(k % 3 != 0)) for k in range(400)] + [(k, 1) for k in (1, 4) for _ in range(300)] + [(k, 0) for k in range(1000, 3000)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    seen, real = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, label: seen.append(label) or real(x, label))
+    model = quality.learned(docs, labels)
+    usable = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert len(seen[0]) == 60 and set(seen[0]) == {0, 1}
+    found = {r["doc_id"]: np.array(r["x"]) @ model.weights for r in quality.with_features(docs, ["doc_id"], "text").collect()}
+    share = sum(k % 3 == 0 for k in usable) / len(usable)
+    assert model.cut == pytest.approx(np.quantile([found[k] for k in usable], share), abs=1e-9)
+
+
+def test_exact_quantile_like_numpy(spark):
+    draw = np.random.default_rng(17)
+    for values in (draw.normal(size=301), np.repeat([1.0, 2.0], 50), np.append(draw.normal(size=99) * 1e-9, 1e9)):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").coalesce(1)
+        for share in (0.0, 0.3, 0.5, 1.0):
+            assert quality.exact_quantile(df, len(values), share, 16) == pytest.approx(np.quantile(values, share), rel=1e-9, abs=1e-15)
+
+
 def test_ranking_learns_an_order():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(400, 4))
