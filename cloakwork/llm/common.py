@@ -39,20 +39,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-#: Bits of the filter below: a megabyte in every executor, whatever the data.
-FILTER_BITS = 1 << 23
+#: Bits of the filter below: at most 8 MB in every executor, whatever the data.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 26
 
 
 def possibly_in(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``col`` isn't among ``wanted``'s only column.
 
-    A bitmap of hashed values, of fixed size, goes to all executors. It lets all wanted rows pass
-    and few others, so that a join by ``col`` need not shuffle the rest.
+    A bitmap of hashed values, eight bits for each of the counted wanted ones, goes to all executors. It
+    lets all wanted rows pass and few others, so that a join by ``col`` need not shuffle the rest. At
+    MOST_BITS it stops to grow: beyond some tens of millions of wanted values more and in the end all
+    rows pass, which costs the plain join's shuffle and changes no result. Null is a value like others.
     """
-    spread = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(FILTER_BITS))
+    n = wanted.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    spread = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
     bitmaps = wanted.select(spread.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__cw_slot"))
     bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__cw_bits"))
-    own = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
+    own = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
     place = F.bitmap_bit_position(own)
     byte = F.conv(F.hex(F.call_function("substring", F.col("__cw_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
     bit = F.call_function("shiftright", byte.cast("int"), F.pmod(place, F.lit(8)).cast("int"))

@@ -1,25 +1,27 @@
 """Benchmark decontamination with a positional inverted index of the training words.
 
-A window is 10 consecutive words of a benchmark item (all words of a shorter one). Each window
-is looked up by its rarest word in the training table: the postings of that word (document,
-position) are shifted by the word's place in the window to give start positions, and at each of
-them the lists of the other words are intersected, which is to say the words that stand in the
-document at the shifted positions must be the window's. Postings of other words are never
-stored: the index holds only what some window reads.
-
-A proximity match is a stretch of the window's length and 2 * SLOP words more that holds at least
-LEAST of the window's words, repeats counted, in any order. It lacks at most so many words as the
-rest of the window, so of that many and one more it holds one: the postings of these, the rarest,
-find every match. An exact occurrence is a proximity match with a share of 1.
-
-Everything up to the confirmed occurrence is one narrow stage without a shuffle, so a passage
-that a third of all documents share is spread as the documents are. Windows are broadcast only
-up to BROADCAST_BYTES, as measured. Beyond, postings that a bitmap of the anchors lets pass are
-shuffled, each with the few words around it that a window can reach, never with its document.
-
-Defined results: null or wordless text has no words and no hits; rows with equal doc_id are
-judged each by its own text; equal items all count; items without words have no window; an
-empty benchmark leaves every document clean; an empty table gives no rows.
+The index is a stored table of postings (row, word, position) of every word of the benchmark; each
+text is cut into words once, for it. A window is 10 consecutive words of a benchmark item (all
+words of a shorter one). A posting shifted back by a word's place in a window is a start; a phrase
+stands where the shifted lists of all its words have a start in common. Lists are intersected from
+the rarest on:
+
+1. the postings of the rarest word give starts;
+2. those of the next rarest, as far as a bitmap of the starts found lets them pass, confirm them;
+3. at what is left, a handful beyond the real occurrences, the lists of all other words are read.
+
+A proximity match tolerates altered, missing and inserted words: of a tile's places (a tile is one
+of the runs of 10 words that an item falls into) at least LEAST have a start in a range of SLOP + 1.
+It lacks at most a fifth of the places, so it holds one of as many of the rarest and one more, and
+two of these and the next: the same three steps find every match. A tile that stands there word by word has
+a share of 1; shorter tiles than a window must be complete, but for their order within SLOP.
+
+Nothing is keyed by a word alone: rows of the index have their own number, and where the benchmark
+outgrows BROADCAST_BYTES, as measured, joins by word are salted by that number.
+
+Defined results: null or wordless text has no words and no hits; rows with equal doc_id are judged
+each by its own text; equal items all count; null item_ids are one item, written ``null``; items without
+words have no window; an empty benchmark leaves every document clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +31,19 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.functions.lineage import settle
+from cloakwork.functions.lineage import stored
 from cloakwork.llm.common import WORD_GAP, ascii_lower, possibly_in, split_words, table, without
 
 WINDOW = 10
-#: Windows with their words and items take at most so much of every executor.
+#: A broadcast table of the benchmark takes at most so much of every executor.
 BROADCAST_BYTES = 64 << 20
-#: A proximity match holds at least this share of a window's words, with so many others on either side.
-SLOP, LEAST = 5, 0.8
+#: Bytes of a joined row in memory, besides its strings.
+ROW_BYTES = 64
+SALTS = 32
+#: A proximity match holds at least this share of a tile's places, with starts in a range of SLOP + 1.
+SLOP, LEAST = 3, 0.8
+#: Positions by block, so that a range of them is looked up by equality.
+BLOCK = 64
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 NEAR_OUTPUTS = ("near_share", "n_near_items", "near_items_sha256", "near_contaminated")
@@ -46,213 +53,232 @@ def words_of(text: Column) -> Column:
     return split_words(ascii_lower(text), WORD_GAP)
 
 
-class Extent(NamedTuple):
-    """Of all windows together: the words of the longest, and about the bytes that they take."""
+class Search(NamedTuple):
+    """Windows (window, words) and their items (window, item); a match holds ``least`` of the places."""
 
-    longest: int
-    n_bytes: int
+    windows: DataFrame
+    items: DataFrame
+    least: float
+    slop: int
 
-    @property
-    def small(self) -> bool:
-        return self.n_bytes <= BROADCAST_BYTES
+    def lacks(self, n: Column) -> Column:
+        """How many of ``n`` places a match may lack."""
+        whole = F.ceil(n * self.least - 1e-9).cast("int")
+        return F.when(n < WINDOW, 0).otherwise(n - whole)
 
 
-def may_lack(words: Column, least: float | None) -> Column:
-    """How many of a window's words a match may lack; none where only exact ones count."""
-    return F.lit(0) if least is None else F.size(words) - F.ceil(F.size(words) * least - 1e-9).cast("int")
+def _search(pieces: DataFrame, least: float, slop: int) -> Search:
+    """From (item, words): equal windows are one, with a number of its own."""
+    windows = stored(pieces.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    items = stored(pieces.join(windows, "words").select("window", "item").distinct(), "window-items")
+    return Search(windows, items, least, slop)
 
 
-def extent_of(windows: DataFrame, least: float | None = None) -> Extent:
-    strings = F.concat("words", "items")
-    each = 64 + 24 * F.size(strings) + F.octet_length(F.array_join(strings, ""))
-    each = each * (may_lack(F.col("words"), least) + 1)
-    found = windows.agg(F.max(F.size("words")).alias("longest"), F.sum(each.cast("bigint")).alias("n_bytes")).first()
-    return Extent(found["longest"] or 0, found["n_bytes"] or 0)
+def searches(benchmark: DataFrame, near: bool, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[Search]:
+    """Exact matches of all windows, and if ``near`` proximity matches of the tiles."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    items = benchmark.select(name.alias("item"), words_of(F.col(text_col)).alias("all")).where(F.size("all") > 0)
+    last = F.greatest(F.lit(1), F.size("all") - window + 1)
 
+    def cut(starts: Column) -> DataFrame:
+        each = items.select("item", "all", F.explode(starts).alias("at"))
+        return each.select("item", F.slice("all", F.col("at"), window).alias("words"))
 
-def word_frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame, extent: Extent) -> DataFrame:
-    """How often each word of ``vocabulary`` (word) stands in the training table."""
-    words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("word"))
-    if extent.small:
-        words = words.join(F.broadcast(vocabulary), "word", "left_semi")
-        return words.groupBy("word").agg(F.count("*").alias("freq"))
-    counted = possibly_in(words, "word", vocabulary).groupBy("word").agg(F.count("*").alias("freq"))
-    return counted.join(vocabulary, "word", "left_semi")
+    found = [_search(cut(F.sequence(F.lit(1), last)), 1.0, 0)]
+    if near:
+        tiles = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(window)), lambda at: F.least(at, last))
+        found.append(_search(cut(F.array_distinct(tiles)), LEAST, SLOP))
+    return found
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows: words, and the items that have them."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("all"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - window + 1))
-    each = items.where(F.size("all") > 0).select("item", "all", F.explode(starts).alias("at"))
-    each = each.select("item", F.slice("all", F.col("at"), window).alias("words"))
-    return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+def vocabulary_of(benchmark_searches: list[Search]) -> DataFrame:
+    """(word, term): every word of a window, with a number. Every word of an item is in a window."""
+    words = benchmark_searches[0].windows.select(F.explode("words").alias("word")).distinct()
+    return stored(words.withColumn("term", F.monotonically_increasing_id()), "vocabulary")
 
 
-def anchored(windows: DataFrame, docs: DataFrame, text_col: str, least: float | None = LEAST) -> tuple[DataFrame, Extent]:
-    """Windows by as many of their rarest words as a match of at least ``least`` can't all lack;
-    ``place`` is the rarest's in the window, and null at the others. And the windows' extent."""
-    extent = extent_of(windows, least)
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    freq = word_frequencies(docs, text_col, vocabulary, extent)
-    places = windows.select("words", "items", F.posexplode("words").alias("place", "word"))
-    rarity = places.join(freq, "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    by_rarity = F.sort_array(F.collect_list(F.struct("freq", "place", "word"))).alias("rare")
-    chosen = rarity.groupBy("words").agg(by_rarity, F.first("items").alias("items"))
-    # A word that stands nowhere has no postings, but counts among those that a match may lack.
-    first, tried = F.col("rare")[0], F.slice("rare", 1, may_lack(F.col("words"), least) + 1)
-    there = F.array_distinct(F.transform(F.filter(tried, lambda r: r["freq"] > 0), lambda r: r["word"]))
-    chosen = chosen.select(F.explode(there).alias("anchor"), first.alias("rarest"), "words", "items")
-    place = F.when(F.col("anchor") == F.col("rarest.word"), F.col("rarest.place"))
-    return chosen.select("anchor", place.alias("place"), "words", "items"), extent
+def joined(rows: DataFrame, few: DataFrame, key: str, n_few: int) -> DataFrame:
+    """``rows`` (with ``row``) joined by ``key`` to ``few``: broadcast if that is small, as counted,
+    else shuffled, with the rows of a common key dealt over SALTS tasks."""
+    if n_few * ROW_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), key)
+    dealt = few.withColumn("__cw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    return possibly_in(rows, key, few.select(key).distinct()).withColumn("__cw_salt", salt).join(dealt, [key, "__cw_salt"]).drop("__cw_salt")
 
 
-def postings(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep..., doc_words, position, word): every word of the table with its position.
+def indexed(docs: DataFrame, vocabulary: DataFrame, own: dict[str, Column], text_col: str) -> DataFrame:
+    """The stored index: (row, term, position), and a document's own columns at its first word.
 
-    Documents without words have one null word, which no join takes: a plain explode would
-    first filter by the number of words, and so cut every text twice.
+    ``row`` numbers the rows of ``docs`` within the write, which is read again and never repeated.
+    Rows without words have one entry without a position.
     """
-    listed = docs.select(*keep, words_of(F.col(text_col)).alias("words"))
-    return listed.select(*keep, F.col("words").alias("doc_words"), F.posexplode_outer("words").alias("position", "word"))
-
+    n = F.size("__cw_words")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("__cw_words"), *[c.alias(k) for k, c in own.items()])
+    each = rows.select("row", n.cast("bigint").alias("n_words"), *own, F.posexplode_outer("__cw_words").alias("position", "word"))
+    head = F.coalesce(F.col("position"), F.lit(0)) == 0
+    each = each.withColumns({c: F.when(head, F.col(c)) for c in ("n_words", *own)}).withColumn("head", head)
+    size = vocabulary.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
+    if size["n"] * ROW_BYTES + size["b"] <= BROADCAST_BYTES:
+        known = each.join(F.broadcast(vocabulary), "word", "left")
+    else:
+        # A bitmap of the vocabulary spares most other words the shuffle; first words go along.
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+        dealt = vocabulary.withColumn("__cw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        firsts = each.where("head").withColumn("term", F.lit(None).cast("bigint"))
+        found = possibly_in(each, "word", vocabulary.select("word")).withColumn("__cw_salt", salt).join(dealt, ["word", "__cw_salt"])
+        found = found.withColumns({c: F.lit(None).cast(each.schema[c].dataType) for c in ("n_words", *own)}).withColumn("head", F.lit(False))
+        known = found.select(*each.columns, "term").unionByName(firsts.select(*each.columns, "term"))
+    return stored(known.where(F.col("term").isNotNull() | F.col("head")).drop("word"), "postings")
+
+
+def ranked_terms(search: Search, vocabulary: DataFrame, index: DataFrame) -> DataFrame:
+    """(window, n, place, term, rank): the rarest word of a window has rank 0."""
+    freq = index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("freq"))
+    places = search.windows.select("window", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    known = places.join(vocabulary, "word").join(freq, "term", "left")
+    rarest_first = Window.partitionBy("window").orderBy(F.coalesce("freq", F.lit(0)), "place")
+    return stored(known.select("window", "n", "place", "term", (F.row_number().over(rarest_first) - 1).alias("rank")), "terms")
+
+
+def starts_at(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, window, n, start): where a window would start by the postings of some of its words."""
+    found = joined(lists, terms.select("term", "window", "n", "place"), "term", terms.count())
+    return found.select("row", "window", "n", (F.col("position") - F.col("place")).alias("start"))
+
+
+def possible_starts(search: Search, lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, window, start): starts that the rarest words' lists leave."""
+    lacks = search.lacks(F.col("n"))
+    first = stored(starts_at(lists, terms.where(F.col("rank") <= lacks)), "starts")
+    both = F.xxhash64("row", "window")
+    second = starts_at(lists, terms.where(F.col("rank") == lacks + 1)).withColumn("__cw_pair", both)
+    second = possibly_in(second, "__cw_pair", first.select(both.alias("__cw_wanted"))).drop("__cw_pair")
+    along = Window.partitionBy("row", "window").orderBy("start")
+    before, after = F.col("start") - F.lag("start").over(along), F.lead("start").over(along) - F.col("start")
+    beside = F.least(before, after) <= search.slop  # nulls are no neighbours
+    near = first.unionByName(second).withColumn("beside", beside).where(F.coalesce("beside", F.lit(False)) | (F.col("n") == 1))
+    return near.select("row", "window", "start").distinct()
+
+
+def matches(search: Search, lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, window, start, n, share): every match by its first start; share is of the window's places."""
+    possible = stored(possible_starts(search, lists, terms), "possible")
+    wanted = possible.join(terms.select("window", "n", "place", "term"), "window")
+    low, high = (F.col("start") + F.col("place") + d for d in (-search.slop, search.slop))
+    blocks = F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))
+    wanted = wanted.select("row", "window", "n", "place", "term", low.alias("low"), high.alias("high"), F.explode(blocks).alias("block"))
+    there = possibly_in(lists, "row", possible.select(F.col("row").alias("__cw_wanted"))).withColumn("block", F.floor(F.col("position") / BLOCK))
+    found = there.join(wanted, ["row", "term", "block"]).where(F.col("position").between(F.col("low"), F.col("high")))
+    found = found.select("row", "window", "n", "place", "position", (F.col("position") - F.col("place")).alias("start")).distinct()
+    if search.slop:
+        reach = Window.partitionBy("row", "window").orderBy("start").rangeBetween(0, search.slop)
+        # One word of the document stands for one place alone.
+        held = F.least(*(F.size(F.collect_set(c).over(reach)) for c in ("place", "position")))
+        found = found.withColumn("held", held).groupBy("row", "window", "start", "n").agg(F.max("held").alias("held"))
+    else:
+        found = found.groupBy("row", "window", "start", "n").agg(F.count("*").alias("held"))
+    return found.where(F.col("held") >= F.col("n") - search.lacks(F.col("n"))).withColumn("share", F.col("held") / F.col("n"))
 
-def at_anchors(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int, text_col: str) -> DataFrame:
-    """Postings of anchors with their windows; ``near`` holds the document's words from the place
-    ``near_first`` on, as far as a window and ``slop`` reach."""
-    lists = postings(docs, text_col, keep)
-    if extent.small:
-        # In one stage with the join, where a posting is not a row of its own: nothing is copied.
-        lists = lists.withColumnsRenamed({"doc_words": "near"}).withColumn("near_first", F.lit(0))
-        return lists.join(F.broadcast(windows), F.col("word") == F.col("anchor"))
-    reach = extent.longest + slop
-    lists = possibly_in(lists, "word", windows.select("anchor"))
-    first = F.greatest(F.col("position") - reach, F.lit(0))
-    lists = lists.select(
-        *keep, "position", "word", F.slice("doc_words", first + 1, F.lit(2 * reach + 1)).alias("near"), first.alias("near_first")
-    )
-    return lists.join(windows, F.col("word") == F.col("anchor"))
 
+def items_by_row(found: DataFrame, search: Search, name: str) -> DataFrame:
+    each = found.select("row", "window").distinct().join(search.items, "window").select("row", "item")
+    return each.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias(name))
 
-def is_exact() -> Column:
-    """Whether the window of a row of at_anchors() stands there word by word."""
-    start = F.col("position") - F.col("place")
-    there = F.slice("near", F.greatest(start - F.col("near_first"), F.lit(0)) + 1, F.size("words"))
-    return F.coalesce((start >= 0) & (there == F.col("words")), F.lit(False))
 
+def hits_by_row(found: DataFrame, search: Search) -> DataFrame:
+    """(row, n_hit, items) of exact matches: n_hit counts the words inside any of them."""
+    spans = found.select("row", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(so_far), F.lit(0))))
+    counts = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    return counts.join(items_by_row(found, search, "items"), "row")
 
-def occurrences(docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep..., start, end, items): exact occurrences, end exclusive, in words."""
-    start = F.col("position") - F.col("place")
-    hits = at_anchors(docs, windows.where(F.col("place").isNotNull()), extent, keep, 0, text_col).where(is_exact())
-    return hits.select(*keep, start.alias("start"), (start + F.size("words")).alias("end"), "items")
 
+def judged_rows(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], text_col: str = "text", near: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The index' heads (row, own..., n_words) and the hits (row, n_hit, items, near_items,
+    near_share) of rows that have any, stored."""
+    found = searches(benchmark, near)
+    vocabulary = vocabulary_of(found)
+    index = indexed(docs, vocabulary, own, text_col)
+    lists = index.where(F.col("term").isNotNull()).select("row", "term", "position")
+    exact = stored(matches(found[0], lists, ranked_terms(found[0], vocabulary, index)), "matches")
+    hits = hits_by_row(exact, found[0])
+    if near:
+        close = stored(matches(found[1], lists, ranked_terms(found[1], vocabulary, index)), "matches")
+        shares = close.groupBy("row").agg(F.max("share").alias("near_share"))
+        hits = hits.join(shares.join(items_by_row(close, found[1], "near_items"), "row"), "row", "full_outer")
+    else:
+        hits = hits.withColumns({"near_share": F.lit(None).cast("double"), "near_items": F.lit(None).cast("array<string>")})
+    return index.where("head").select("row", "n_words", *own), stored(hits, "hits")
 
-def words_around(slop: int) -> Column:
-    """Of rows of at_anchors(): the words of all stretches that hold the posting."""
-    length = F.size("words") + 2 * slop
-    at = F.col("position") - F.col("near_first")
-    first = F.greatest(at - length + 1, F.lit(0))
-    return F.slice("near", first + 1, at + length - first)
 
+def _named(rows: DataFrame, near: bool) -> DataFrame:
+    """The output columns from n_words and __cw_hits."""
 
-def best_share(around: Column, words: Column, slop: int) -> Column:
-    """The largest share of ``words``, repeats counted, in a stretch of ``around``."""
-    distinct, length = F.array_distinct(words), F.size(words) + 2 * slop
+    def listed(name: str) -> Column:
+        return F.coalesce(F.col(f"__cw_hits.{name}"), F.array().cast("array<string>"))
 
-    def held(stretch: Column) -> Column:
-        def both(word: Column) -> Column:
-            return F.least(*(F.size(F.filter(side, lambda w: w == word)) for side in (words, stretch)))
+    n_hit = F.coalesce(F.col("__cw_hits.n_hit"), F.lit(0)).cast("bigint")
+    outputs = {
+        "n_hit": n_hit,
+        "n_items": F.size(listed("items")).cast("bigint"),
+        "items_sha256": F.sha2(F.array_join(listed("items"), ","), 256),
+        "contaminated": n_hit > 0,
+    }
+    if near:
+        outputs |= {
+            "near_share": F.coalesce(F.col("__cw_hits.near_share"), F.lit(0.0)),
+            "n_near_items": F.size(listed("near_items")).cast("bigint"),
+            "near_items_sha256": F.sha2(F.array_join(listed("near_items"), ","), 256),
+            "near_contaminated": F.size(listed("near_items")) > 0,
+        }
+    return rows.withColumns(outputs)
 
-        repeats = F.aggregate(F.transform(distinct, both), F.lit(0), lambda n, x: n + x)
-        return F.when(F.size(distinct) == F.size(words), F.size(F.array_intersect(stretch, words))).otherwise(repeats)
 
-    starts = F.sequence(F.lit(1), F.greatest(F.size(around) - length + 1, F.lit(1)))
-    return F.array_max(F.transform(starts, lambda s: held(F.slice(around, s, length)))) / F.size(words)
+def identity(id_col: str, text_col: str) -> dict[str, Column]:
+    """What a row of the table is known by: its id and its text."""
+    return {"__cw_id": F.col(id_col), "__cw_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
-def near_occurrences(
-    docs: DataFrame, windows: DataFrame, extent: Extent, keep: list[str], slop: int = SLOP, least: float = LEAST, text_col: str = "text"
-) -> DataFrame:
-    """(keep..., position, start, end, share, items): proximity matches, around a posting of one of
-    the window's anchors; start and end are null where the match isn't exact.
-
-    ``windows`` must be anchored for ``least`` or less."""
-    around, words = words_around(slop), F.col("words")
-    possible = F.size(F.array_intersect(around, words)) >= F.size(F.array_distinct(words)) - may_lack(words, least)
-    hits = at_anchors(docs, windows, extent, keep, 2 * slop, text_col).where(possible)
-    start = F.when(is_exact(), F.col("position") - F.col("place"))
-    # A generator, which no later filter passes: shares aren't compiled, and the rows that leave
-    # the compiled stage for them would otherwise each be a copy of the document.
-    hits = hits.select(*keep, "position", "words", "items", start.alias("start"), F.explode(F.array(around)).alias("around"))
-    share = F.when(F.col("start").isNotNull(), F.lit(1.0)).otherwise(best_share(F.col("around"), words, slop))
-    hits = hits.withColumn("share", share).where(F.col("share") >= least - 1e-9)
-    return hits.select(*keep, "position", "start", (F.col("start") + F.size("words")).alias("end"), "share", "items")
+def hits_by_identity(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, near: bool) -> DataFrame:
+    """(__cw_id, __cw_text, __cw_hits) of documents with hits, one of equal rows; stored."""
+    heads, hits = judged_rows(docs, benchmark, identity(id_col, text_col), text_col, near)
+    rows = heads.join(hits, "row").select("__cw_id", "__cw_text", F.struct("n_hit", "items", "near_items", "near_share").alias("__cw_hits"))
+    return stored(rows.dropDuplicates(["__cw_id", "__cw_text"]), "hits-by-document")
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, near: bool = False
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated, by exact occurrences;
     if ``near``, also the largest share, the items and whether there are any by proximity matches."""
-    windows, extent = anchored(benchmark_windows(benchmark), docs, text_col, LEAST if near else None)
-    windows = settle(windows)  # a bounded table; its scan of all documents isn't run again
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row_key = {"__cw_id": F.col(id_col), "__cw_text": F.xxhash64(text)}
-    keyed, keep = docs.withColumns(row_key), ["__cw_id", "__cw_text"]
-    if near:
-        found = near_occurrences(keyed, windows, extent, keep, text_col=text_col)
-    else:
-        found = occurrences(keyed, windows, extent, keep, text_col).withColumn("share", F.lit(1.0))
-    # Repeated rows have the same occurrences: one of each.
-    spans = found.groupBy(*keep, "start", "end", "items").agg(F.max("share").alias("share"))
-    reach = Window.partitionBy("__cw_id", "__cw_text").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(reach), F.lit(0))))
-    per_doc = (
-        spans.withColumn("fresh", fresh)
-        .groupBy("__cw_id", "__cw_text")
-        .agg(
-            F.sum("fresh").alias("hit"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))))).alias("items"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("near_items"),
-            F.max("share").alias("share"),
-        )
-    )
+    hits = hits_by_identity(docs, benchmark, id_col, text_col, near)
     outputs = OUTPUTS + (NEAR_OUTPUTS if near else ())
-    rows = without(docs, *outputs).withColumns(row_key | {"n_words": F.regexp_count(text, F.lit(WORD)).cast("bigint")})
-    rows = rows.withColumnRenamed("__cw_id", "__cw_own_id").withColumnRenamed("__cw_text", "__cw_own_text")
-    if not keep_text:
-        rows = rows.drop(text_col)
-    same = F.col("__cw_own_id").eqNullSafe(F.col("__cw_id")) & (F.col("__cw_own_text") == F.col("__cw_text"))
-    items, near_items = (F.coalesce(F.array_sort(c), F.array().cast("array<string>")) for c in (F.col("__cw_hits.items"), F.col("__cw_hits.near_items")))
-    per_doc = per_doc.select(*keep, F.struct("hit", "items", "near_items", "share").alias("__cw_hits"))
-    judged = rows.join(per_doc, same, "left").withColumns(
-        {
-            "n_hit": F.coalesce(F.col("__cw_hits.hit"), F.lit(0)).cast("bigint"),
-            "n_items": F.size(items).cast("bigint"),
-            "items_sha256": F.sha2(F.array_join(items, ","), 256),
-        }
-    )
-    judged = judged.withColumn("contaminated", F.col("n_hit") > 0)
-    if near:
-        judged = judged.withColumns(
-            {
-                "near_share": F.coalesce("__cw_hits.share", F.lit(0.0)),
-                "n_near_items": F.size(near_items).cast("bigint"),
-                "near_items_sha256": F.sha2(F.array_join(near_items, ","), 256),
-                "near_contaminated": F.size(near_items) > 0,
-            }
-        )
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    named = {f"{k}_own": c for k, c in identity(id_col, text_col).items()}
+    rows = docs.withColumns(named | {"__cw_n_words": n_words})
+    judged = _named(without(_with_hits(rows, hits, "left"), *outputs).withColumnRenamed("__cw_n_words", "n_words"), near)
     return judged.drop(*[c for c in judged.columns if c.startswith("__cw_")])
 
 
-def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False).select("doc_id", *OUTPUTS)
+def _with_hits(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    same = F.col("__cw_id_own").eqNullSafe(F.col("__cw_id")) & (F.col("__cw_text_own") == F.col("__cw_text"))
+    return rows.join(hits, same, how)
 
 
-def op7_proximity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_benchmark_hits with its proximity matches, which SQL doesn't express."""
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
+    """The rows of ``docs`` without any match.
+
+    The hits are a stored table of a few columns: Spark broadcasts it if its files are small."""
+    hits = hits_by_identity(docs, benchmark, id_col, text_col, near).select("__cw_id", "__cw_text")
+    rows = docs.withColumns({f"{k}_own": c for k, c in identity(id_col, text_col).items()})
+    return _with_hits(rows, hits, "left_anti").drop("__cw_id_own", "__cw_text_own")
+
+
+def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of the index with their hits: no second look at the texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = decontaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False, near=True)
-    return judged.select("doc_id", *OUTPUTS, *NEAR_OUTPUTS)
+    heads, hits = judged_rows(docs, table(spark, sf_dir, "benchmark"), {"doc_id": F.col("doc_id")})
+    packed = hits.select("row", F.struct("n_hit", "items", "near_items", "near_share").alias("__cw_hits"))
+    return _named(heads.join(packed, "row", "left"), True).select("doc_id", *OUTPUTS, *NEAR_OUTPUTS)

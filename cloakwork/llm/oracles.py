@@ -6,6 +6,7 @@ brute force and held-out rows.
 
 from __future__ import annotations
 
+from cloakwork.llm.decontamination import SLOP
 from cloakwork.llm.licenses import COPYRIGHT_LINE, LICENSES, NOT_WORD, NOTICE_HINT, NOTICES, SPELLINGS, known
 from cloakwork.llm.mixing import MOST_PASSES, WEIGHTS
 from cloakwork.llm.secrets import BASE_RULES, MORE_RULES
@@ -110,15 +111,26 @@ FROM d JOIN h USING (rid) LEFT JOIN k ON k.digest = h.digest LEFT JOIN f ON f.ri
 _WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({ascii_lower("coalesce(text, '')")}, {_WORD}) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({ascii_lower("coalesce(text, '')")}, {_WORD}) AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({ascii_lower("coalesce(text, '')")}, {_WORD}) AS w FROM benchmark),
 win AS (SELECT DISTINCT item, list_slice(w, i, i + 9) AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
 size AS (SELECT DISTINCT len(g) AS n FROM win),
 pos AS (SELECT rid, i, n, list_slice(w, i, i + n - 1) AS g FROM d, size, unnest(range(1, len(w) - n + 2)) AS u(i)),
 occ AS (SELECT rid, i, n, item FROM pos JOIN win USING (g)),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM occ) x GROUP BY rid),
-its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY rid)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY rid),
+til AS (SELECT DISTINCT item, list_slice(w, least(i, greatest(len(w) - 9, 1)), least(i, greatest(len(w) - 9, 1)) + 9) AS g FROM b, unnest(range(1, len(w) + 1, 10)) AS u(i)),
+tile AS (SELECT g, row_number() OVER () AS tile, len(g) AS n, CASE WHEN len(g) < 10 THEN len(g) ELSE 8 END AS need FROM (SELECT DISTINCT g FROM til) x),
+term AS (SELECT tile, n, need, place, g[place] AS word FROM tile, unnest(range(1, n + 1)) AS u(place)),
+post AS (SELECT rid, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p) WHERE w[p] IN (SELECT word FROM term)),
+st AS (SELECT rid, tile, n, need, place, p, p - place AS s FROM post JOIN term USING (word) QUALIFY count(*) OVER (PARTITION BY rid, tile) >= need),
+around AS (SELECT rid, tile, n, need, list(place) OVER f AS places, list(p) OVER f AS ps FROM st
+  WINDOW f AS (PARTITION BY rid, tile ORDER BY s RANGE BETWEEN CURRENT ROW AND {SLOP} FOLLOWING)),
+near AS (SELECT rid, tile, max(held / n) AS share FROM (SELECT rid, tile, n, need, least(len(list_distinct(places)), len(list_distinct(ps))) AS held FROM around) x WHERE held >= need GROUP BY ALL),
+nits AS (SELECT rid, max(share) AS share, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM near JOIN tile USING (tile) JOIN til USING (g) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+  sha256(coalesce(its.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(share, CAST(0 AS DOUBLE)) AS near_share, coalesce(nits.n_items, 0) AS n_near_items, sha256(coalesce(nits.items, '')) AS near_items_sha256,
+  share IS NOT NULL AS near_contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN nits USING (rid)"""
 
 # --- op8 ---------------------------------------------------------------------
 

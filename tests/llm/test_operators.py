@@ -278,24 +278,14 @@ def test_benchmark_hits_like_brute_force(spark, monkeypatch, broadcast_bytes):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r["contaminated"] == bool(hit)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
-def test_proximity_matches(spark, monkeypatch, broadcast_bytes):
-    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
-    docs = docs_of(spark, ["x alpha gamma beta delta so epsilon zeta eta theta iota kappa", "alpha only"])
-    windows, n = decontamination.anchored(decontamination.benchmark_windows(bench), docs, "text")
-    near = decontamination.near_occurrences(docs, windows, n, ["doc_id"])
-    assert {r["doc_id"] for r in near.collect()} == {0} and decontamination.occurrences(docs, windows, n, ["doc_id"]).isEmpty()
-
-
 @pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
 def test_proximity_hits_like_brute_force(spark, monkeypatch, broadcast_bytes):
-    """Also where the window's rarest words stand nowhere, or only elsewhere, in the table."""
+    """Also where a tile's rarest words stand nowhere, or only elsewhere, in the table."""
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
     draw = random.Random(15)
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
-    items = [passage, "one two two three three three four five six seven".split(), "red green blue".split(), ["the"] * 10]
-    texts = [["no", "kappa", "here", "the", "the"]]
+    items = [passage, "one two two three three three four five six seven eight nine ten".split(), "red green blue".split(), ["the"] * 10, ["lone"]]
+    texts = [["no", "kappa", "here", "the", "the"], ["nothing", "lone"]]
     for item in items:
         for _ in range(25):
             own = list(item)
@@ -304,21 +294,41 @@ def test_proximity_hits_like_brute_force(spark, monkeypatch, broadcast_bytes):
                 own[k : k + draw.randrange(2)] = draw.choice(["x", "x y", "x y z u v w"]).split()
             texts.append(prose(draw, draw.randrange(4)).replace(".", "").replace(",", "").split() + own + ["end"])
     texts.append([w for w in passage if w != "kappa"] + ["changed"])
+    texts.append("x alpha gamma beta delta so epsilon zeta eta theta iota kappa".split())
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    out = decontamination.decontaminated(docs_of(spark, [" ".join(t) for t in texts]), bench, near=True).collect()
+    out = decontamination.decontaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
     seen = set()
     for r in out:
         w, found = texts[r["doc_id"]], {}
         for k, item in enumerate(items):
-            stretches = [Counter(w[i : i + len(item) + 10]) for i in range(len(w))]
-            share = max(sum((Counter(item) & s).values()) for s in stretches) / len(item)
-            if share >= 0.8:
-                found[str(k)] = share
-        assert (r["n_near_items"], r["near_contaminated"]) == (len(found), bool(found))
-        assert r["near_share"] == pytest.approx(max(found.values(), default=0)) and (r["near_contaminated"] or not r["contaminated"])
+            for at in {max(0, min(a, len(item) - 10)) for a in range(0, len(item), 10)}:
+                tile = item[at : at + 10]
+                starts = [(p - place, place, p) for place, x in enumerate(tile) for p, y in enumerate(w) if x == y]
+                for low, _, _ in starts:
+                    near = [s for s in starts if low <= s[0] <= low + decontamination.SLOP]
+                    held = min(len({s[1] for s in near}), len({s[2] for s in near}))
+                    if held >= (8 if len(tile) == 10 else len(tile)):
+                        found[str(k)] = max(found.get(str(k), 0), held / len(tile))
+        assert (r["n_near_items"], r["near_contaminated"]) == (len(found), bool(found)), (w, found)
+        assert r["near_share"] == pytest.approx(max(found.values(), default=0))
         assert r["near_items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         seen.add((r["contaminated"], r["near_contaminated"]))
-    assert seen == {(False, False), (False, True), (True, True)} and [r["near_share"] for r in out if r["doc_id"] == len(texts) - 1] == [0.9]
+    assert {(False, False), (False, True), (True, True)} <= seen
+    assert [(r["near_share"], r["contaminated"]) for r in out[-2:]] == [(0.9, False), (1.0, False)]
+
+
+def test_null_items_are_one(spark):
+    bench = spark.createDataFrame([(None, "red green blue"), (None, "green blue"), (7, "blue sky")], "item_id long, text string")
+    r = decontamination.decontaminated(docs_of(spark, ["a red green blue sky"]), bench).first()
+    assert (r["n_hit"], r["n_items"], r["contaminated"]) == (4, 2, True)
+    assert r["items_sha256"] == hashlib.sha256(b"7,null").hexdigest()
+
+
+def test_clean_keeps_the_rest(spark):
+    bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    docs = docs_of(spark, ["a red green blue sky", None, "red", "a red green blue sky"]).withColumn("n_hit", F.lit("other"))
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
 # --- quality -----------------------------------------------------------------
