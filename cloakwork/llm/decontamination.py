@@ -132,9 +132,8 @@ def indexed(docs: DataFrame, vocabulary: DataFrame, own: dict[str, Column], text
     return stored(known.where(F.col("term").isNotNull() | F.col("head")).drop("word"), "postings")
 
 
-def ranked_terms(search: Search, vocabulary: DataFrame, index: DataFrame) -> DataFrame:
+def ranked_terms(search: Search, vocabulary: DataFrame, freq: DataFrame) -> DataFrame:
     """(window, n, place, term, rank): the rarest word of a window has rank 0."""
-    freq = index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("freq"))
     places = search.windows.select("window", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
     known = places.join(vocabulary, "word").join(freq, "term", "left")
     rarest_first = Window.partitionBy("window").orderBy(F.coalesce("freq", F.lit(0)), "place")
@@ -168,7 +167,10 @@ def matches(search: Search, lists: DataFrame, terms: DataFrame) -> DataFrame:
     low, high = (F.col("start") + F.col("place") + d for d in (-search.slop, search.slop))
     blocks = F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))
     wanted = wanted.select("row", "window", "n", "place", "term", low.alias("low"), high.alias("high"), F.explode(blocks).alias("block"))
-    there = possibly_in(lists, "row", possible.select(F.col("row").alias("__cw_wanted"))).withColumn("block", F.floor(F.col("position") / BLOCK))
+    # Of the lists, only the blocks that some start asks for go on.
+    place = F.xxhash64("row", "term", "block")
+    there = lists.withColumn("block", F.floor(F.col("position") / BLOCK)).withColumn("__cw_place", place)
+    there = possibly_in(there, "__cw_place", wanted.select(place.alias("__cw_wanted"))).drop("__cw_place")
     found = there.join(wanted, ["row", "term", "block"]).where(F.col("position").between(F.col("low"), F.col("high")))
     found = found.select("row", "window", "n", "place", "position", (F.col("position") - F.col("place")).alias("start")).distinct()
     if search.slop:
@@ -202,10 +204,11 @@ def judged_rows(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], t
     vocabulary = vocabulary_of(found)
     index = indexed(docs, vocabulary, own, text_col)
     lists = index.where(F.col("term").isNotNull()).select("row", "term", "position")
-    exact = stored(matches(found[0], lists, ranked_terms(found[0], vocabulary, index)), "matches")
+    freq = stored(lists.groupBy("term").agg(F.count("*").alias("freq")), "frequencies")
+    exact = stored(matches(found[0], lists, ranked_terms(found[0], vocabulary, freq)), "matches")
     hits = hits_by_row(exact, found[0])
     if near:
-        close = stored(matches(found[1], lists, ranked_terms(found[1], vocabulary, index)), "matches")
+        close = stored(matches(found[1], lists, ranked_terms(found[1], vocabulary, freq)), "matches")
         shares = close.groupBy("row").agg(F.max("share").alias("near_share"))
         hits = hits.join(shares.join(items_by_row(close, found[1], "near_items"), "row"), "row", "full_outer")
     else:
