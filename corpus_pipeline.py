@@ -28,7 +28,7 @@ from cloakwork.llm.sharding import interleaved_shards
 
 #: What the operators read; all other columns travel in REST, out of the way of their outputs.
 READ = ("doc_id", "text", "source")
-REST = "__cw_rest"
+REST = "carried along"
 
 
 def packed(docs: DataFrame) -> DataFrame:
