@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.lineage import stored
 from cloakwork.functions.spans import TOKEN, tokens
 
 CASE = ["dataset", "case_id"]
@@ -22,6 +24,17 @@ def f_beta(precision: Column, recall: Column, beta: int) -> Column:
     return ratio((1 + beta**2) * precision * recall, beta**2 * precision + recall)
 
 
+class Sides(NamedTuple):
+    """Annotated and predicted spans, each detected once and read by every metric."""
+
+    gold: DataFrame
+    pred: DataFrame
+
+    @staticmethod
+    def of(gold: DataFrame, pred: DataFrame) -> Sides:
+        return Sides(*(stored(side.select(*SPAN).distinct(), "spans") for side in (gold, pred)))
+
+
 def outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """A row for each distinct span of either side, with tp, fp, fn as 0 or 1."""
     g = gold.select(*SPAN).distinct().withColumn("__cw_g", F.lit(1))

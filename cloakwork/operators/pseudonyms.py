@@ -16,6 +16,7 @@ from cloakwork.functions.memo import remembered
 from cloakwork.functions.spans import let, literal
 from cloakwork.functions.values import casefold, normalized
 
+# The shapes of fakes (documentation ranges, test numbers), in the functions below.
 GIVEN_NAMES = (
     "Aarav", "Aditi", "Anika", "Arjun", "Bhavna", "Chetan", "Deepa", "Dev", "Esha", "Farhan", "Gauri", "Harsh",
     "Ishan", "Jaya", "Kabir", "Kavya", "Lakshmi", "Manav", "Meera", "Nikhil", "Nisha", "Omkar", "Pooja", "Pranav",
@@ -147,7 +148,8 @@ def generated(seed: int, entity_type: Column, value: Column, attempt: Column, ov
 
 
 def first_unused(seed: int, entity_type: Column, value: Column, used: Column, overrides: Overrides = ()) -> Column:
-    """The first attempt's fake that ``used`` (lower case) lacks and that isn't the value itself."""
+    """The first attempt's fake that ``used`` (lower case) lacks and that isn't the value itself;
+    null where MOST_ATTEMPTS make none."""
 
     def free(fake: Column) -> Column:
         return ~F.array_contains(used, F.lower(fake)) & (F.lower(fake) != value)
@@ -156,8 +158,7 @@ def first_unused(seed: int, entity_type: Column, value: Column, used: Column, ov
         F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: generated(seed, entity_type, value, k, overrides)), free), F.lit(0))
         for a, b in TIERS
     ]
-    none = F.raise_error(F.concat(F.lit("could not generate a unique replacement for "), entity_type)).cast("string")
-    return F.coalesce(*tiers, none)
+    return F.coalesce(*tiers)
 
 
 RECORD = "struct<entity_type:string,original:string,normalized_original:string,replacement:string,occurrences:bigint>"
@@ -174,7 +175,8 @@ def mapped(
     """(scope, entity_type, original, normalized_original, replacement, occurrences, first_no).
 
     ``rows`` has a row for each resolved span (scope, order..., entity_type, value). One
-    partial-aggregating shuffle by (scope, type, normal form), one by scope.
+    partial-aggregating shuffle by (scope, type, normal form), one by scope. A document with more
+    values than a type has fakes gets null replacements for the rest, see ``incomplete``.
     """
     keyed = rows.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
     distinct = keyed.groupBy(scope, "entity_type", "normalized_original").agg(
@@ -206,12 +208,18 @@ def settled_records(seed: int, overrides: Overrides = ()) -> Column:
             )
             return F.concat(state, F.array(done)).cast(f"array<{RECORD}>")
 
-        used = F.transform(state, lambda s: F.lower(s["replacement"]))
+        used = F.filter(F.transform(state, lambda s: F.lower(s["replacement"])), lambda f: f.isNotNull())
         return let(let(used, lambda u: first_unused(seed, r["entity_type"], r["normalized_original"], u, overrides)), put)
 
     return F.aggregate("records", F.array().cast(f"array<{RECORD}>"), settle_one)
 
 
+def incomplete(mappings: DataFrame, scope: str = "doc_id") -> DataFrame:
+    """(scope, entity_type, missing): documents whose values outnumber the fakes of a type. Their
+    redacted text is null: one such document neither leaks nor stops the others."""
+    return mappings.where(F.col("replacement").isNull()).groupBy(scope, "entity_type").agg(F.count("*").alias("missing"))
+
+
 def existing_replacements(rows: DataFrame, mappings: DataFrame, scope: str = "doc_id", unicode: bool = True) -> DataFrame:
     """``rows`` (scope, entity_type, value) with the replacement each already has; counts stay.
 
@@ -234,7 +242,7 @@ def replay_dictionary(mappings: DataFrame, scope: str = "doc_id", unicode: bool
     fakes = mappings.groupBy(scope).agg(F.collect_list(F.lower("replacement")).alias("fakes"))
     keyed = mappings.withColumn("key", fold(F.col("original"))).join(fakes, scope)
     bare = F.regexp_replace("original", r"(?U)^\s+|\s+$", "")
-    inside = F.exists("fakes", lambda f: F.contains(f, F.col("key")))
+    inside = F.exists("fakes", lambda f: F.contains(f, F.col("key")))  # nulls aren't collected
     long_enough = F.char_length(bare) >= LEAST_REPLAY_LENGTH
     by_key = keyed.groupBy(scope, "key").agg(
         F.count_distinct("entity_type").alias("types"),
@@ -246,7 +254,7 @@ def replay_dictionary(mappings: DataFrame, scope: str = "doc_id", unicode: bool
 
 def ambiguous_originals(mappings: DataFrame, scope: str = "doc_id") -> DataFrame:
     """(scope, key, types): originals that are mapped under more than one type."""
-    keyed = mappings.withColumn("key", F.lower("original"))
+    keyed = mappings.withColumn("key", casefold(F.col("original")))
     return keyed.groupBy(scope, "key").agg(F.count_distinct("entity_type").alias("types")).where("types > 1")
 
 

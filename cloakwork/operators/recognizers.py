@@ -67,9 +67,10 @@ PERSON_PATTERN = (
     r"(?<=\b(?i:name|director|applicant|signatory|person|attention|secretary|officer|chairman|by|mr|mrs|ms|dr|shri|smt)"
     rf"[.:]{{0,1}}[ ]{{1,3}}){NAME_WORD}(?:[ ](?:[A-Z]\.|{NAME_WORD})){{1,3}}"
 )
+LEGAL_FORM = r"(?:Private Limited|Pvt\.? Ltd\.?|Limited|Ltd\.?|LLP|Incorporated|Inc\.?|Corporation|Corp\.?|PLC|GmbH|Bank|University)(?!\w)"
 ORGANIZATION_PATTERN = (
-    r"\b[A-Z][\w&'.-]*(?:[ ](?:(?:of|and|the|for)[ ])?[A-Z&][\w&'.-]*){0,5}[ ]"
-    r"(?:Private Limited|Pvt\.? Ltd\.?|Limited|Ltd\.?|LLP|Incorporated|Inc\.?|Corporation|Corp\.?|PLC|GmbH|Bank|University)(?!\w)"
+    rf"\b(?!(?:The|This|That|Any|Each|Such|Our|Your|An?)[ ]{LEGAL_FORM})"
+    rf"[A-Z][\w&'.-]*(?:[ ](?:(?:of|and|the|for)[ ])?[A-Z&][\w&'.-]*){{0,5}}[ ]{LEGAL_FORM}"
 )
 
 

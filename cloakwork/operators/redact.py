@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,14 @@ def first_pass(
     deny_lists: Mapping[str, Sequence[str]] | None = None,
     rules: Sequence[Rule] | None = None,
     unicode: bool = True,
+    detector: Callable[..., DataFrame] = detect,
 ) -> tuple[DataFrame, DataFrame]:
-    """Units with ``redacted``, and the mappings (by document)."""
-    found = entity_rows(detect(units, entities=entities, deny_lists=deny_lists, rules=rules), ["doc_id", "unit_no"])
+    """Units with ``redacted``, and the mappings (by document).
+
+    Any ``detector`` that adds ``entities`` to units will do. ``redacted`` is null in documents
+    whose mapping is incomplete.
+    """
+    found = entity_rows(detector(units, entities=entities, deny_lists=deny_lists, rules=rules), ["doc_id", "unit_no"])
     found = settle(found)  # read twice: texts are scanned once
     mappings = settle(mapped(found, seed, unicode=unicode))
     keyed = found.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
@@ -63,7 +68,8 @@ def second_pass(first: DataFrame, mappings: DataFrame, unicode: bool = True) ->
     keys = ["doc_id", "entity_type", "normalized_original"]
     fakes = mappings.select(*keys, "replacement")
     again = first.select(*[c for c in first.columns if c not in ("replacements", "redacted")], F.col("redacted").alias("__cw_first"))
-    texts = replaced(again, keyed.join(fakes, keys), text_col="__cw_first").drop("__cw_first")
+    texts = replaced(again, keyed.join(fakes, keys), text_col="__cw_first")
+    texts = texts.withColumn("redacted", F.when(F.col("__cw_first").isNotNull(), F.col("redacted"))).drop("__cw_first")
     more = keyed.groupBy(*keys).agg(F.count("*").alias("more"))
     total = F.col("occurrences") + F.coalesce("more", F.lit(0))
     return texts, mappings.join(more, keys, "left").withColumn("occurrences", total).drop("more")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.values import casefold
+
 LEAST_SECRET_LENGTH = 5
 RENDER_WARNING = "visual_render_required_before_delivery"
 IMAGE_WARNING = "embedded_images_replaced_without_ocr"
@@ -15,21 +17,30 @@ def occurrences(text: Column, value: Column) -> Column:
     return F.coalesce(F.try_divide(F.char_length(text) - F.char_length(F.replace(text, value, F.lit(""))), F.char_length(value)), F.lit(0)).cast("bigint")
 
 
-def removed_occurrences(before: DataFrame, after: DataFrame, mappings: DataFrame) -> DataFrame:
+def removed_occurrences(before: DataFrame, after: DataFrame, mappings: DataFrame, unicode: bool = True) -> DataFrame:
     """(doc_id, entity_type, normalized_original, removed) for the mapped values that can be counted.
 
     ``before`` and ``after`` are (doc_id, text); an original that is part of any replacement of its
-    document is left out, as its count says nothing.
+    document is left out, as its count says nothing. A document's mappings are an array beside its
+    text, so a text is shuffled and folded once, however many values are mapped.
     """
+    fold = casefold if unicode else F.lower
+
     def folded(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.lower(F.array_join(F.array_sort(F.collect_list("text")), "\n")).alias(name))
+        own = df.join(listed.select("doc_id"), "doc_id", "left_semi")
+        return own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias(name)).withColumn(name, fold(F.col(name)))
+
+    entry = F.struct("entity_type", "normalized_original", "key", "fake")
+    keyed = mappings.withColumns({"key": fold(F.col("original")), "fake": fold(F.col("replacement"))})
+    listed = keyed.groupBy("doc_id").agg(F.collect_list(entry).alias("maps"))
+    joined = listed.join(folded(before, "source_text"), "doc_id").join(folded(after, "output_text"), "doc_id", "left")
+    countable = F.filter("maps", lambda m: ~F.exists("maps", lambda f: F.coalesce(F.contains(f["fake"], m["key"]), F.lit(False))))
 
-    fakes = mappings.groupBy("doc_id").agg(F.collect_list(F.lower("replacement")).alias("fakes"))
-    keyed = mappings.withColumn("key", F.lower("original")).join(fakes, "doc_id")
-    countable = keyed.where(~F.exists("fakes", lambda f: F.contains(f, F.col("key"))))
-    joined = countable.join(folded(before, "source_text"), "doc_id").join(folded(after, "output_text"), "doc_id", "left")
-    gone = occurrences(F.col("source_text"), F.col("key")) - occurrences(F.coalesce("output_text", F.lit("")), F.col("key"))
-    return joined.select("doc_id", "entity_type", "normalized_original", gone.alias("removed"))
+    def counted(m: Column) -> Column:
+        gone = occurrences(F.col("source_text"), m["key"]) - occurrences(F.coalesce("output_text", F.lit("")), m["key"])
+        return F.struct(m["entity_type"].alias("entity_type"), m["normalized_original"].alias("normalized_original"), gone.alias("removed"))
+
+    return joined.select("doc_id", F.inline(F.transform(countable, counted)))
 
 
 def left_behind(before: DataFrame, after: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -44,16 +55,15 @@ def hash_mismatches(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def media_violations(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Media (doc_id, name, content, width, height) that are missing, unchanged or of another size."""
-    names = ("content", "width", "height")
-    b = before.select("doc_id", "name", *[F.col(c).alias(f"b_{c}") for c in names])
-    a = after.select("doc_id", "name", *[F.col(c).alias(f"a_{c}") for c in names])
-    both = b.join(a, ["doc_id", "name"], "full_outer")
-    problem = (
-        F.when(F.col("b_content").isNull() | F.col("a_content").isNull(), "incomplete media")
-        .when(F.col("b_content") == F.col("a_content"), "source bytes remain")
-        .when((F.col("b_width") != F.col("a_width")) | (F.col("b_height") != F.col("a_height")), "dimensions changed")
-    )
+    """(doc_id, name, problem) of media (doc_id, name, content, width, height): every one must be
+    in both, with other bytes and of the same size."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("doc_id", "name", F.struct(F.sha2("content", 256).alias("sha"), F.struct("width", "height").alias("size")).alias(name))
+
+    both = side(before, "old").join(side(after, "new"), ["doc_id", "name"], "full_outer")
+    tests = {"absent": F.isnull("old") | F.isnull("new"), "kept": F.col("old.sha") == F.col("new.sha"), "resized": F.col("old.size") != F.col("new.size")}
+    problem = F.coalesce(*[F.when(wrong, F.lit(name)) for name, wrong in tests.items()])
     return both.select("doc_id", "name", problem.alias("problem")).where("problem is not null")
 
 
@@ -61,7 +71,7 @@ def audit_leaks(audit_json: str, mappings: DataFrame) -> DataFrame:
     """Mapped originals or fakes of five or more characters that stand in the audit's text."""
     both = mappings.select(F.explode(F.array("original", "replacement")).alias("value"))
     secret = both.where(F.char_length(F.trim("value")) >= LEAST_SECRET_LENGTH)
-    return secret.where(F.contains(F.lit(audit_json.lower()), F.lower("value"))).distinct()
+    return secret.where(F.contains(F.lit(audit_json.casefold()), casefold(F.col("value")))).distinct()
 
 
 def warnings_for(n_images: int) -> list[str]:

@@ -359,7 +359,8 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, replaced_units: DataFrame) -> DataFrame:
-    """(doc_id, content): packages with the replacements of their units (doc_id, unit_no, replacements)."""
+    """(doc_id, content): packages with the replacements of their units (doc_id, unit_no, replacements);
+    null where a replacement is."""
     entry = F.struct("unit_no", "replacements")
     by_doc = replaced_units.where(F.size("replacements") > 0).groupBy("doc_id").agg(F.collect_list(entry).alias("units"))
     joined = docs.select("doc_id", "content").join(by_doc, "doc_id", "left")
@@ -370,7 +371,8 @@ def rewrite(docs: DataFrame, replaced_units: DataFrame) -> DataFrame:
             out = []
             for content, own in zip(frame["content"], frame["units"], strict=True):
                 wanted = {u["unit_no"]: [(r["start"], r["end"], r["value"]) for r in u["replacements"]] for u in own}
-                out.append(rewritten(content, wanted))
+                whole = content is not None and all(value is not None for own_unit in wanted.values() for *_, value in own_unit)
+                out.append(rewritten(content, wanted) if whole else None)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "content": out})
 
     return joined.withColumn("units", units).mapInPandas(apply, "doc_id bigint, content binary")

@@ -13,7 +13,7 @@ import pytest
 from cloakwork.cli import main
 from cloakwork.plans import bundle
 from cloakwork.sources import ooxml, store
-from cloakwork.sources.annotations import RedactionConfig, load_config
+from cloakwork.sources.annotations import Settings, settings_from, settings_of
 from cloakwork.sources.store import MappingDecryptionError, MappingKey
 
 W = ooxml.WORD[1:-1]
@@ -127,29 +127,31 @@ def test_failures_publish_nothing_and_tell_nothing(source, tmp_path, changes):
 
 
 def test_publishing_is_atomic(tmp_path):
-    def build(stage):
-        (stage / "a").write_text("x")
-
     def broken(a, b):
         raise OSError("no")
 
-    with pytest.raises(OSError):
-        bundle.publish(tmp_path / "out", build, broken)
+    with pytest.raises(OSError), bundle.staged(tmp_path / "out", broken) as stage:
+        (stage / "a").write_text("x")
+    with pytest.raises(KeyError), bundle.staged(tmp_path / "out") as stage:
+        (stage / "a").write_text("x")
+        raise KeyError
     assert os.listdir(tmp_path) == []
-    bundle.publish(tmp_path / "out", build)
-    with pytest.raises(FileExistsError):
-        bundle.publish(tmp_path / "out", build)
+    for _ in range(1):
+        with bundle.staged(tmp_path / "out") as stage:
+            (stage / "a").write_text("x")
+    with pytest.raises(FileExistsError), bundle.staged(tmp_path / "out"):
+        pass
+    assert os.listdir(tmp_path) == ["out"] and (tmp_path / "out" / "a").read_text() == "x"
 
 
 def test_config_and_key(tmp_path):
     (tmp_path / "c").write_text(json.dumps(CONFIG))
-    assert load_config(str(tmp_path / "c")).deny_lists == {"IN_DIN": ("87654321",)}
-    for wrong in ([], {"deny_lists": []}, {"config_version": "1"}):
-        (tmp_path / "c").write_text(json.dumps(wrong))
+    assert settings_from(tmp_path / "c").deny_lists == {"IN_DIN": ("87654321",)}
+    for wrong in ([], {"deny_lists": []}, {"config_version": "1"}, CONFIG | {"deny_lists": []}, CONFIG | {"model_version": ""}):
         with pytest.raises(ValueError):
-            load_config(str(tmp_path / "c"))
+            settings_of(wrong)
     with pytest.raises(ValueError):
-        bundle.check_config(RedactionConfig("2", "rules-1", {}))
+        bundle.check_settings(Settings("2", "rules-1"))
     with pytest.raises(ValueError):
         MappingKey.from_environment({})
     with pytest.raises(ValueError):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.spans import find_all, spliced
 from cloakwork.functions.values import ipv6_compressed, luhn_valid, normalized, verhoeff_valid
-from cloakwork.operators.pseudonyms import mapped, replay_dictionary
+from cloakwork.operators.pseudonyms import incomplete, mapped, replay_dictionary
 from cloakwork.operators.redact import redact, replay_hits
 
 ROWS = "doc_id long, unit_no long, start int, entity_type string, value string"
@@ -58,8 +58,17 @@ def test_normalized_reuse_and_type_isolation(spark):
 def test_small_spaces_stay_unique_until_exhausted(spark):
     phones = [("PHONE_NUMBER", f"+91 98765 4{k:04d}") for k in range(60)]
     assert len({r["replacement"] for r in make(spark, phones).values()}) == 60
-    with pytest.raises(Exception, match="unique replacement"):
-        make(spark, [("PHONE_NUMBER", f"+91 98765 4{k:04d}") for k in range(101)])
+    out = make(spark, [("PHONE_NUMBER", f"+91 98765 4{k:04d}") for k in range(103)] + [("PERSON", "Asha Rao")])
+    assert sum(r["replacement"] is None for r in out.values()) == 3 and out["PERSON", "asha rao"]["replacement"]
+
+
+def test_a_document_without_fakes_enough_stops_no_other(spark):
+    text = " ".join(f"phone +91 98765 4{k:04d}," for k in range(101))
+    units = spark.createDataFrame([(1, 0, text), (2, 0, "phone +91 98765 43210")], "doc_id long, unit_no long, text string")
+    texts, mappings = redact(units, 17, entities=["PHONE_NUMBER"])
+    out = {r["doc_id"]: r["redacted"] for r in texts.collect()}
+    assert out[1] is None and out[2].startswith("phone +1 202-555-01")
+    assert [tuple(r) for r in incomplete(mappings).collect()] == [(1, "PHONE_NUMBER", 1)]
 
 
 def test_unknown_type_is_an_error(spark):
