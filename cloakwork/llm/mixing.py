@@ -3,7 +3,11 @@
 The rows of a source, in seeded order, form one endless token stream that starts over at its
 end; it is cut into blocks of equally many words. Blocks go to sources by the highest quotient
 target / (2k + 1), for as many houses as there are shards, so every shard has an integer quota
-of blocks of each source. Shard by shard, a source's next blocks in seeded order are taken.
+of blocks of each source. Shard by shard, a source's next blocks in seeded order are taken: the
+result tells for each row how many of its words each shard takes.
+
+Rows of a source are spread over hash buckets. Windows over sources alone hold a row a source (and shard):
+a million sources are some hundred MB, which sort and spill in one task.
 
 Defined results: null or wordless text has size 0 and nothing is taken of it; sources sort by
 code point with null last; rows with equal doc_id are ordered by their size, identical rows
@@ -19,7 +23,8 @@ from cloakwork.llm.common import SPACED_WORD, bucket_count, laid_end_to_end, see
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-OUTPUTS = ("size", "source_size", "target", "taken")
+BLOCK_WORDS = 16
+OUTPUTS = ("size", "source_size", "target", "taken", "shards")
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +61,7 @@ def block_quotas(targets: DataFrame, block_words: int, n_shards: int) -> DataFra
     everything = Window.partitionBy(F.lit(0))
     total, n_sources = F.sum("__cw_words").over(everything), F.count("*").over(everything)
     sized = targets.withColumns({"__cw_all": total, "__cw_sources": n_sources})
-    sized = sized.withColumn("__cw_block", F.expr(f"greatest(1, least({block_words}, __cw_all div (64 * __cw_sources)))"))
+    sized = sized.withColumn("__cw_block", F.lit(block_words).cast("bigint"))
     houses = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     houses = houses.withColumn("__cw_house", F.expr(f"(__cw_all div __cw_block) * (shard + 1) div {n_shards}"))
     share = F.coalesce(F.try_divide(F.col("__cw_target"), F.col("__cw_all")), F.lit(0.0))
@@ -77,43 +82,56 @@ def block_quotas(targets: DataFrame, block_words: int, n_shards: int) -> DataFra
 
 
 def source_plan(sizes: DataFrame, block_words: int, n_shards: int, weights: tuple[int, ...], most_passes: int) -> DataFrame:
-    """By source: target and __cw_take, the words its quota of blocks comes to."""
+    """By source: target and __cw_parts, the stretch (shard, low, high) of its words that each shard takes."""
     targets = source_targets(sizes, weights, most_passes)
     quotas = block_quotas(targets, block_words, n_shards)
-    seats = quotas.groupBy("__cw_stratum").agg(F.max("__cw_seats").alias("__cw_seats"), F.max("__cw_block").alias("__cw_block"))
-    take = F.least(F.col("__cw_seats") * F.col("__cw_block"), F.col("__cw_most"))
-    return targets.join(seats, "__cw_stratum").select("__cw_stratum", "__cw_target", take.alias("__cw_take"))
+    both = quotas.join(targets.select("__cw_stratum", "__cw_target", "__cw_most"), "__cw_stratum")
+    low, high = (F.least(seats * F.col("__cw_block"), F.col("__cw_most")) for seats in (F.col("__cw_seats") - F.col("quota"), F.col("__cw_seats")))
+    part = F.struct("shard", low.alias("low"), high.alias("high"))
+    return both.groupBy("__cw_stratum").agg(F.first("__cw_target").alias("__cw_target"), F.array_sort(F.collect_list(part)).alias("__cw_parts"))
+
+
+def words_by_shard(most_passes: int) -> Column:
+    """(shard, words) of the shards that take words of a row: its place in every pass against their stretches."""
+
+    def taken(part: Column) -> Column:
+        def in_pass(k: int) -> Column:
+            begin = F.col("__cw_start") + k * F.col("__cw_total")
+            return F.greatest(F.lit(0), F.least(part["high"], begin + F.col("size")) - F.greatest(part["low"], begin))
+
+        words = sum((in_pass(k) for k in range(1, most_passes)), in_pass(0))
+        return F.struct(part["shard"].alias("shard"), words.cast("bigint").alias("words"))
+
+    return F.filter(F.transform("__cw_parts", taken), lambda p: p["words"] > 0)
 
 
 def mixed(
     docs: DataFrame,
     seed: str = "mixture",
-    block_words: int = 256,
+    block_words: int = BLOCK_WORDS,
     n_shards: int = 8,
     weights: tuple[int, ...] = WEIGHTS,
     most_passes: int = MOST_PASSES,
     n_buckets: int | None = None,
     size: Column | None = None,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words the mix takes of the row)."""
+    """``docs`` with size, source_size, target, taken (words the mix takes of the row, repeats
+    counted) and shards (array of shard, words: which shards take how many of them)."""
     if n_buckets is None:
         n_buckets = bucket_count(docs.count())
     rows = without(docs, *OUTPUTS).withColumns(
         {
             "__cw_stratum": stratum_key(F.col("source")),
-            "__cw_key": seeded_key(seed, F.col("doc_id")),
+            # The text too, so that rows without an id of their own are spread as well.
+            "__cw_key": seeded_key(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))),
             "size": word_count(F.col("text")) if size is None else size,
         }
     )
     sizes = rows.groupBy("__cw_stratum").agg(F.sum("size").alias("__cw_words"))
     plan = source_plan(sizes, block_words, n_shards, weights, most_passes)
     laid = laid_end_to_end(rows, "__cw_stratum", "__cw_key", ["doc_id", "size"], "size", n_buckets, plan)
-    whole = F.expr("__cw_take div greatest(__cw_total, 1)")
-    part = F.col("__cw_take") - whole * F.col("__cw_total") - F.col("__cw_start")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(part, F.col("size")))
-    out = laid.withColumns(
-        {"source_size": F.col("__cw_total"), "target": F.col("__cw_target"), "taken": taken.cast("bigint")}
-    )
+    out = laid.withColumns({"source_size": F.col("__cw_total"), "target": F.col("__cw_target"), "shards": words_by_shard(most_passes)})
+    out = out.withColumn("taken", F.aggregate("shards", F.lit(0).cast("bigint"), lambda n, p: n + p["words"]))
     return out.drop(*[c for c in out.columns if c.startswith("__cw_")])
 
 
@@ -130,4 +148,5 @@ def materialised(mix: DataFrame) -> DataFrame:
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(slim).select("doc_id", "size", "source_size", "target", "taken")
+    listed = F.array_join(F.transform("shards", lambda p: F.concat_ws(":", p["shard"].cast("string"), p["words"].cast("string"))), ",")
+    return mixed(slim).select("doc_id", "size", "source_size", "target", "taken", listed.alias("shards"))

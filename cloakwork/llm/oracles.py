@@ -7,8 +7,8 @@ brute force and held-out rows.
 from __future__ import annotations
 
 from cloakwork.llm.decontamination import SLOP
-from cloakwork.llm.licenses import COPYRIGHT_LINE, LICENSES, NOT_WORD, NOTICE_HINT, NOTICES, SPELLINGS, known
-from cloakwork.llm.mixing import MOST_PASSES, WEIGHTS
+from cloakwork.llm.licenses import DIGESTS, DROPPED, NOT_WORD, NOTICE_HINT, NOTICES, SPELLINGS, known, known_licenses
+from cloakwork.llm.mixing import BLOCK_WORDS, MOST_PASSES, WEIGHTS
 from cloakwork.llm.secrets import BASE_RULES, MORE_RULES
 from cloakwork.llm.url_filters import PATH_RULES, PATTERN_RULES, URL
 
@@ -64,7 +64,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c
 _WEIGHT = "CASE (rk - 1) % 3 " + " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS)) + " END"
 OP3 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS s,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(concat('mixture:', doc_id)) AS k FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(concat('mixture:', doc_id, ':', md5(coalesce(text, '')))) AS k FROM documents),
 src AS (SELECT s, CAST(sum(size) AS BIGINT) AS w FROM d GROUP BY s),
 rk AS (SELECT *, row_number() OVER (ORDER BY s) AS rk, CAST(sum(w) OVER () AS BIGINT) AS t, count(*) OVER () AS ns FROM src),
 wt AS (SELECT *, {_WEIGHT} AS g FROM rk),
@@ -76,25 +76,30 @@ fill AS (SELECT 0 AS round, list({{'s': s, 'w': w, 'g': g, 'c': false}}) AS l, a
   WHERE round < len(l)),
 fin AS (SELECT l, (t - coalesce(list_sum(list_transform(list_filter(l, lambda e: e.c), lambda e: {MOST_PASSES} * e.w)), 0)) / list_sum(list_transform(list_filter(l, lambda e: NOT e.c), lambda e: e.g)) AS lv FROM fill ORDER BY round DESC LIMIT 1),
 tg AS (SELECT e.s AS s, CASE WHEN e.c THEN CAST({MOST_PASSES} * e.w AS DOUBLE) ELSE e.g * lv END AS target FROM (SELECT unnest(l) AS e, lv FROM fin) q),
-b AS (SELECT *, greatest(1, least(256, t // (64 * ns))) AS b FROM wt JOIN tg USING (s)),
-seats AS (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS place, t // b AS house FROM b, unnest(range(0, CAST(target / b + ns + 2 AS BIGINT))) AS u(k)),
-won AS (SELECT s, count(*) AS q FROM seats WHERE place <= house GROUP BY s),
-take AS (SELECT s, w, target, least(coalesce(q, 0) * b, {MOST_PASSES} * w) AS take FROM b LEFT JOIN won USING (s)),
-laid AS (SELECT d.*, w, target, take, coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN take USING (s))
-SELECT doc_id, size, w AS source_size, target,
-  CAST(take // greatest(w, 1) * size + greatest(0, least(take - take // greatest(w, 1) * w - start, size)) AS BIGINT) AS taken FROM laid"""
+b AS (SELECT *, {BLOCK_WORDS} AS b FROM wt JOIN tg USING (s)),
+seats AS (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS place, t // b AS blocks FROM b, unnest(range(0, CAST(target / b + ns + 2 AS BIGINT))) AS u(k)),
+won AS (SELECT s, h, count(*) AS q FROM seats, unnest(range(0, 8)) AS v(h) WHERE place <= blocks * (h + 1) // 8 GROUP BY s, h),
+parts AS (SELECT s, w, target, h, least(coalesce(lag(q) OVER (PARTITION BY s ORDER BY h), 0) * b, {MOST_PASSES} * w) AS low, least(coalesce(q, 0) * b, {MOST_PASSES} * w) AS high
+  FROM (SELECT * FROM b, unnest(range(0, 8)) AS v(h)) bh LEFT JOIN won USING (s, h)),
+laid AS (SELECT row_number() OVER () AS rid, d.*, w, coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN src USING (s)),
+took AS (SELECT rid, h, CAST(sum(greatest(0, least(high, start + p * laid.w + size) - greatest(low, start + p * laid.w))) AS BIGINT) AS words
+  FROM laid JOIN parts USING (s), unnest(range(0, {MOST_PASSES})) AS v(p) GROUP BY rid, h),
+summed AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, string_agg(concat(h, ':', words), ',' ORDER BY h) FILTER (words > 0) AS shards FROM took GROUP BY rid)
+SELECT doc_id, size, laid.w AS source_size, target, taken, coalesce(shards, '') AS shards FROM laid JOIN summed USING (rid) JOIN tg USING (s)"""
 
 # --- op6 ---------------------------------------------------------------------
 
 
+_SPELLED = "CASE w " + " ".join(f"WHEN {q(one)} THEN {q(other)}" for one, other in SPELLINGS) + " ELSE w END"
+
+
 def _canonical(text: str) -> str:
-    words = f"concat(' ', trim(regexp_replace(regexp_replace({ascii_lower(text)}, {q(COPYRIGHT_LINE)}, ' ', 'g'), {q(NOT_WORD)}, ' ', 'g')), ' ')"
-    for one, other in SPELLINGS:
-        words = f"replace({words}, ' {one} ', ' {other} ')"
-    return f"trim({words})"
+    """Word by word, unlike the Spark expression."""
+    words = f"list_filter(regexp_split_to_array(regexp_replace({ascii_lower(text)}, {q(DROPPED)}, ' ', 'g'), {q(NOT_WORD)}), lambda w: w <> '')"
+    return f"array_to_string(list_transform({words}, lambda w: {_SPELLED}), ' ')"
 
 
-_WHOLE = known({body: name for name, body in LICENSES.items()} | NOTICES)
+_WHOLE = known(NOTICES) | known_licenses() | DIGESTS
 _VALUES = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(_WHOLE.items()))
 _BY_LINE = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(known(NOTICES).items()))
 OP6 = f"""
@@ -142,12 +147,13 @@ for _i in range(256):
     _CRC_TABLE.append(_c)
 OP8 = f"""
 WITH tab AS (SELECT {_CRC_TABLE} AS c),
-d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS s, md5(concat('interleave:', doc_id)) AS k,
+d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS s,
   coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
 crc AS (SELECT rid, xor(4294967295::BIGINT, coalesce(list_reduce(list_prepend(4294967295::BIGINT,
   list_transform(range(1, len(h) + 1, 2), lambda i: CAST(concat('0x', substr(h, i, 2)) AS BIGINT))),
   lambda a, x: xor(a >> 8, c[CAST(xor(a, x) & 255 AS INT) + 1]::BIGINT)), 4294967295)) AS crc FROM d, tab),
-r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id, crc) - 1 AS a, count(*) OVER (PARTITION BY s) AS n FROM d JOIN crc USING (rid)),
+e AS (SELECT *, md5(concat('interleave:', doc_id, ':', crc)) AS k FROM d JOIN crc USING (rid)),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id, crc) - 1 AS a, count(*) OVER (PARTITION BY s) AS n FROM e),
 g AS (SELECT *, row_number() OVER (ORDER BY (2 * a + 1) / (2 * n), s, k, doc_id, crc) - 1 AS g, count(*) OVER () AS total FROM r)
 SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(g * 40 // total AS INT) AS shard,
   g - ((g * 40 // total) * total + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard FROM g"""

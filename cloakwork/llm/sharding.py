@@ -5,7 +5,7 @@ and the table sorted by that rank is cut into runs of equal length, so every sha
 mixture of the whole. Law: ``rows`` (shard sizes differ by one at most).
 
 Defined results: a null source is a source of its own; a null or empty text has size 16 and
-CRC 0; rows with equal doc_id are ordered by their text's CRC, and identical rows take
+CRC 0; rows with equal doc_id are told apart by their text's CRC, and identical rows take
 adjacent ranks; an empty table gives no rows; input columns named like an output are replaced.
 """
 
@@ -39,11 +39,12 @@ def interleaved_shards(
     rows = without(docs, *OUTPUTS).withColumns(
         {
             "__cw_stratum": stratum_key(F.col(stratum)),
-            "__cw_key": seeded_key(seed, F.col(id_col)),
             "__cw_tie": F.crc32(F.coalesce(F.col(tie_col).cast("string"), F.lit("")).cast("binary")),
             "__cw_one": F.lit(1).cast("bigint"),
         }
     )
+    # The tie too, so that rows without an id of their own are spread as well.
+    rows = rows.withColumn("__cw_key", seeded_key(seed, F.col(id_col), F.col(tie_col)))
     ranked = laid_end_to_end(rows, "__cw_stratum", "__cw_key", [id_col, "__cw_tie"], "__cw_one", n_buckets)
     share = (2 * F.col("__cw_start") + 1) / (2 * F.col("__cw_total"))
     ranked = ranked.withColumn("__cw_share", share).withColumn("__cw_band", F.floor(F.col("__cw_share") * n_buckets))

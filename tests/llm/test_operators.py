@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -164,7 +166,7 @@ def test_targets_and_quotas_like_plain_apportionment(spark):
             capped |= over
         expected = [3 * s if k in capped else float(weights[k] * level) for k, s in enumerate(sizes)]
         assert [targets[f"0{k}"] for k in range(len(sizes))] == pytest.approx(expected)
-        block = max(1, min(16, sum(sizes) // (64 * len(sizes))))
+        block = 16  # at every size
         rows = mixing.block_quotas(mixing.source_targets(df), 16, 5).collect()
         for shard in range(5):
             house = sum(sizes) // block * (shard + 1) // 5
@@ -182,7 +184,17 @@ def test_mix_meets_its_targets_and_repeats(spark):
     one, two = (sorted(map(tuple, mixing.mixed(docs, n_buckets=n).select("doc_id", "taken").collect())) for n in (16, 97))
     assert one == two
     by_source = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.max(F.col("taken") > 3 * F.col("size")).alias("over")).collect()
-    assert all(abs(r["n"] - r["t"]) <= 300 and not r["over"] for r in by_source)
+    assert all(abs(r["n"] - r["t"]) <= 32 and not r["over"] for r in by_source)
+    # Every shard takes its quota of blocks of each source, and together they take what is taken.
+    mix = mixing.mixed(docs)
+    assert mix.where("taken <> aggregate(shards, 0L, (n, p) -> n + p.words)").isEmpty()
+    took = mix.select("source", F.inline("shards")).groupBy("source", "shard").agg(F.sum("words").alias("n")).collect()
+    sizes = mix.groupBy(F.concat(F.lit("0"), "source").alias("__cw_stratum")).agg(F.sum("size").alias("__cw_words"))
+    targets = mixing.source_targets(sizes)
+    quotas = {(r["__cw_stratum"], r["shard"]): r["quota"] * r["__cw_block"] for r in mixing.block_quotas(targets, mixing.BLOCK_WORDS, 8).collect()}
+    most = {r["__cw_stratum"]: r["__cw_most"] for r in targets.collect()}
+    assert sum(r["n"] for r in took) >= sum(quotas.values()) - 16 * len(most)
+    assert all(quotas["0" + r["source"], r["shard"]] - 16 <= r["n"] <= quotas["0" + r["source"], r["shard"]] for r in took) and len(took) == 40
     out = mixing.materialised(mixing.mixed(docs))
     assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
@@ -405,6 +417,41 @@ def test_license_texts_survive_layout_and_spelling(spark):
     assert all(rows[k]["text_sha256"] == licenses.digest_of(t) for k, t in enumerate(texts))
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text.replace("\n", " "), width))
+
+
+def test_published_wrappings_titles_and_odd_line_ends(spark):
+    isc, mit = licenses.LICENSES["ISC"], licenses.LICENSES["MIT"]
+    cases = [
+        ("ISC", "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\nCopyright © 1995 X\n\n" + wrapped(isc, 78)),
+        ("MIT", "The MIT License (MIT)\r\n\r\nCopyright (c) 2020 A\r\n\r\n" + wrapped(mit, 72).replace("\n", "\r\n")),
+        ("MIT", "MIT License\n\n" + "\n".join(f" * {line}" for line in wrapped(mit, 60).split("\n"))),
+        ("BSD-3-Clause", "BSD 3-Clause License\n(c) 2001 B\nAll rights reserved.\n" + re.sub(r"(?m)^(\d)\. ", r"  (\1) ", licenses.LICENSES["BSD-3-Clause"])),
+        ("BSD-2-Clause", re.sub(r"(?m)^\d\. ", "* ", licenses.LICENSES["BSD-2-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))),
+        ("Unlicense", wrapped(licenses.LICENSES["Unlicense"], 79)),
+        (None, "foo\rcopyright 2001 me\rbar"),
+        (None, "the licence licence favour favour v2 v2"),
+    ]
+    assert any(line.startswith("copyright notice") for line in wrapped(isc, 78).split("\n"))
+    rows = {r["doc_id"]: r for r in licenses.scanned(docs_of(spark, [t for _, t in cases])).collect()}
+    assert [rows[k]["license"] for k in range(len(cases))] == [name for name, _ in cases]
+    assert all(rows[k]["text_sha256"] == licenses.digest_of(t) for k, (_, t) in enumerate(cases))
+    plain = ["foo copyright 2001 me bar", "the license license favor favor version 2 version 2"]
+    assert [rows[k]["text_sha256"] for k in (6, 7)] == [hashlib.sha256(t.encode()).hexdigest() for t in plain]
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="needs the system's own copies of the licences")
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_digests_of_published_texts(file, name):
+    text = (COMMON / file).read_text(encoding="utf-8")
+    for version in (text, text.upper(), "\n".join("# " + line for line in text.split("\n"))):
+        assert licenses.DIGESTS[licenses.digest_of(version)] == name
+
+
 def test_url_rules(spark):
     cases = [
         ("http://a.example.com/en/7x", "example.com/en/7", "allow"),
