@@ -65,8 +65,9 @@ def possibly_in(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
     return joined.where(found).drop("__cw_slot", "__cw_bits")
 
 
-def bucket_count(n_rows: int, per_bucket: int = 2000, most: int = 65536) -> int:
-    """Hash buckets for ``n_rows``: grows with the table; ``most`` bounds the offset tables."""
+def bucket_count(n_rows: int, per_bucket: int = 256, most: int = 65536) -> int:
+    """Hash buckets for ``n_rows``: grows with the table. ``most`` bounds the offset tables, a row a
+    stratum and bucket; at the most, 20 billion slim rows come to some 300,000 a bucket, which sort and spill."""
     return max(16, min(most, n_rows // per_bucket))
 
 
