@@ -3,6 +3,10 @@
 Patterns (literals, classes, groups, ``|``, ``? * +`` and ``{m,n}``) become an NFA, the NFA of
 all rules together becomes a DFA by subset construction, and Moore's partition refinement
 merges equal states. Tables are numpy arrays indexed by state and byte class.
+
+Open tails (``[a-z]+`` at the end of a token) of many rules would multiply each other's states, and
+counted repeats would be counted side by side. So a scan is made of heads: the bounded part
+that every match of a rule begins with. Heads add up to little more than a trie.
 """
 
 from __future__ import annotations
@@ -158,30 +162,90 @@ def _reversed(tree: tuple) -> tuple:
     return tree
 
 
+#: Copies of a counted repeat in a head that already has LITERAL bytes, and without.
+FEW_COPIES, MOST_COPIES, LITERAL = 4, 32, 3
+
+
+def _width(tree: tuple) -> int:
+    """The bytes that every match of ``tree`` has at least."""
+    kind = tree[0]
+    if kind == "bytes":
+        return 1
+    if kind == "then":
+        return sum(map(_width, tree[1]))
+    if kind == "or":
+        return min(map(_width, tree[1]))
+    return _width(tree[1]) * tree[2]
+
+
+def _bounded(tree: tuple) -> bool:
+    kind = tree[0]
+    if kind == "bytes":
+        return True
+    if kind == "times":
+        return tree[3] is not None and tree[3] <= FEW_COPIES and _bounded(tree[1])
+    return all(map(_bounded, tree[1]))
+
+
+def head_of(tree: tuple, least: int = 0) -> tuple:
+    """A bounded tree that a prefix of every match of ``tree`` (of ``least`` bytes or more) matches."""
+    parts = tree[1] if tree[0] == "then" else [tree]
+    out: list[tuple] = []
+    for k, part in enumerate(parts):
+        if _bounded(part):
+            out.append(part)
+            continue
+        if part[0] == "times" and _bounded(part[1]):
+            have = sum(map(_width, out))
+            low = part[2]
+            if k == len(parts) - 1 and part[1][0] == "bytes" and have == sum(_width(x) for x in parts[:k]):
+                low = max(low, least - have) if all(x[0] == "bytes" for x in parts[:k]) else low
+            low = min(low, FEW_COPIES if have >= LITERAL else MOST_COPIES)
+            if low:
+                out.append(("times", part[1], low, low))
+        elif part[0] in ("then", "or") and not out:
+            out.append(head_of(part) if part[0] == "then" else ("or", [head_of(x) for x in part[1]]))
+        break
+    return ("then", out)
+
+
 @dataclass(frozen=True)
 class Dfa:
-    """``step[state * n_classes + byte_class[byte]]`` is the next state; ``accept[state]`` is a bit
-    mask of the rules that end there. State 0 is where a scan starts."""
+    """``step[state * n_classes + byte_class[byte]]`` is the next state; ``accept[state]`` is the number
+    of a set of rules in ``ends``, and set 0 is empty. State 0 is where a scan starts."""
 
     step: np.ndarray
     byte_class: np.ndarray
     accept: np.ndarray
     dead: int
+    ends: tuple[tuple[int, ...], ...]
 
     @property
     def n_classes(self) -> int:
         return int(self.byte_class.max()) + 1
 
 
+class TooManyStates(ValueError):
+    """The subset construction found more states than it was allowed."""
+
+
+def tree_of(pattern: str, any_case: bool = False) -> tuple:
+    return _Parser(pattern, any_case).parse()
+
+
 def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bool = False) -> Dfa:
-    """A minimal DFA over all ``patterns`` (pattern, any_case).
+    """A minimal DFA over all ``patterns`` (pattern, any_case); see compile_trees."""
+    return compile_trees([tree_of(*p) for p in patterns], anywhere, backward)
+
+
+def compile_trees(trees: list[tuple], anywhere: bool, backward: bool = False, most_states: int = 1 << 20) -> Dfa:
+    """A minimal DFA over all ``trees``.
 
     ``anywhere`` lets a match begin at any byte; ``backward`` reads the bytes from their end.
     """
     nfa, ends = _Nfa(), {}
     start = nfa.state()
-    for rule, (pattern, any_case) in enumerate(patterns):
-        tree = _Parser(pattern, any_case).parse()
+    for rule, tree in enumerate(trees):
         own = nfa.state()
         nfa.empty[start].append(own)
         ends[nfa.add(_reversed(tree) if backward else tree, own)] = rule
@@ -192,9 +256,15 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bo
     reach = [sum(1 << x for x in nfa.closure([s])) for s in range(len(nfa.moves))]
     moves = [[(k, reach[to]) for chars, to in own for k, byte in enumerate(members) if byte in chars] for own in nfa.moves]
     again, begin = sum(1 << x for x in always), sum(1 << x for x in first)
+    # The moves of the states that are always there are the same in every set: taken once.
+    base = [again] * len(members)
+    for x in always:
+        for k, mask in moves[x]:
+            base[k] |= mask
     numbers, todo, table = {begin: 0}, [begin], []
     for states in todo:  # grows as new sets are found
-        row = [again] * len(members)
+        row = list(base)
+        states &= ~again
         while states:
             low = states & -states
             for k, mask in moves[low.bit_length() - 1]:
@@ -204,9 +274,13 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bo
             if after not in numbers:
                 numbers[after] = len(numbers)
                 todo.append(after)
+        if len(numbers) > most_states:
+            raise TooManyStates(f"more than {most_states} states")
         table.append([numbers[after] for after in row])
-    accept = [sum(1 << rule for end, rule in ends.items() if states >> end & 1) for states in numbers]
-    return _minimised(np.array(table), np.array(accept), byte_class)
+    final = sum(1 << end for end in ends)
+    sets: dict[tuple[int, ...], int] = {(): 0}
+    accept = [sets.setdefault(tuple(rule for end, rule in ends.items() if states >> end & 1) if states & final else (), len(sets)) for states in numbers]
+    return _minimised(np.array(table), np.array(accept), byte_class, tuple(sets))
 
 
 def _byte_classes(nfa: _Nfa) -> tuple[np.ndarray, list[int]]:
@@ -221,11 +295,14 @@ def _byte_classes(nfa: _Nfa) -> tuple[np.ndarray, list[int]]:
     return byte_class, [members[0] for members in by_sign.values()]
 
 
-def _minimised(table: np.ndarray, accept: np.ndarray, byte_class: np.ndarray) -> Dfa:
+def _minimised(table: np.ndarray, accept: np.ndarray, byte_class: np.ndarray, ends: tuple[tuple[int, ...], ...]) -> Dfa:
+    """Moore's refinement: states part where they accept differently, then where their moves do."""
     part = np.unique(accept, return_inverse=True)[1]
     while True:
-        finer = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].ravel()
-        if finer.max() == part.max():
+        numbers: dict[bytes, int] = {}
+        rows = np.ascontiguousarray(np.column_stack([part, part[table]]).astype(np.int32))
+        finer = np.array([numbers.setdefault(row.tobytes(), len(numbers)) for row in rows])
+        if len(numbers) == part.max() + 1:
             break
         part = finer
     # Number the parts as their first states come, so that the start stays 0.
@@ -236,4 +313,4 @@ def _minimised(table: np.ndarray, accept: np.ndarray, byte_class: np.ndarray) ->
     step = number[part[table[keep]]]
     own = np.arange(len(keep))
     dead = np.flatnonzero((step == own[:, None]).all(axis=1) & (accept[keep] == 0))
-    return Dfa(step.astype(np.int32).ravel(), byte_class, accept[keep].astype(np.int64), int(dead[0]) if len(dead) else -1)
+    return Dfa(step.astype(np.int32).ravel(), byte_class, accept[keep].astype(np.int32), int(dead[0]) if len(dead) else -1, ends)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -65,6 +66,31 @@ def test_more_rules(spark):
     assert [s["kind"] for s in found] == ["github", "private_key", "jwt", "google"]
 
 
+def test_many_rules_stay_small(spark, monkeypatch):
+    draw = random.Random(5)
+    rules = tuple(secrets.SecretRule(f"k{k}", "".join(draw.choice("abcdefghkmnpqrstuvwxyz") for _ in range(draw.randrange(3, 7))) + draw.choice(["_[A-Za-z0-9_-]+", "[0-9a-f]{20,}", "-[A-Z0-9]{16}", r"\x20*[:=]\x20*[A-Za-z0-9]+"]), 8) for k in range(100))
+    began = time.perf_counter()
+    scanner = secrets.Scanner.of(rules)
+    took = time.perf_counter() - began
+    assert len(scanner.combined) == 1 and len(scanner.combined[0][0].accept) < 10_000 and took < 2, took
+    assert secrets.Scanner.of(rules) is scanner
+    texts = []
+    for _ in range(200):
+        parts = []
+        for r in draw.sample(rules, 3):
+            word = re.match("[a-z]+", r.pattern)[0]
+            parts += [word, draw.choice(["_", "-", "", " : ", "="]), "".join(draw.choice("0123456789abcdefA") for _ in range(draw.randrange(30))), draw.choice(["", " "])]
+        texts.append("".join(parts))
+    small = secrets.Scanner.of(rules[:20], 60)
+    assert len(small.combined) > 1
+    for scan in (scanner, small):
+        import pyarrow as pa
+
+        got = dict(scan.scan(pa.array(texts, pa.large_string())))
+        for k, t in enumerate(texts):
+            assert [f"{kind}:{s}:{e}" for kind, s, e in got.get(k, [])] == secrets.spans_by_regex(t, scan.rules)
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
