@@ -65,6 +65,27 @@ def possibly_in(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
     return joined.where(found).drop("__cw_slot", "__cw_bits")
 
 
+#: A key with more than this part of all rows is heavy: there are fewer such keys than that.
+HEAVY = 4096
+
+
+def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n_rows: int, weight: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has each ``key`` once and tells in ``weight`` how many of the
+    ``n_rows`` have it; ``side``'s other columns come as the struct ``__cw_side``.
+
+    Heavy keys, at most HEAVY, are broadcast, and their rows go along by ``spread`` instead of the key.
+    """
+    payload = F.struct(*[c for c in side.columns if c != key])
+    heavy = F.col(weight) > n_rows / HEAVY
+    few = side.where(heavy).select(key, payload.alias("__cw_heavy"))
+    rest = side.where(~heavy).select(F.col(key).alias("__cw_key"), payload.alias("__cw_light"))
+    known = rows.join(F.broadcast(few), key, "left")
+    apart = F.concat(F.lit("~"), spread.cast("string")).cast(rows.schema[key].dataType)
+    dealt = known.withColumn("__cw_key", F.when(F.col("__cw_heavy").isNull(), F.col(key)).otherwise(apart))
+    both = dealt.join(rest, "__cw_key", "left")
+    return both.withColumn("__cw_side", F.coalesce("__cw_heavy", "__cw_light")).drop("__cw_key", "__cw_heavy", "__cw_light")
+
+
 def bucket_count(n_rows: int, per_bucket: int = 256, most: int = 65536) -> int:
     """Hash buckets for ``n_rows``: grows with the table. ``most`` bounds the offset tables, a row a
     stratum and bucket; at the most, 20 billion slim rows come to some 300,000 a bucket, which sort and spill."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.lineage import settle
 from cloakwork.llm.common import seeded_key, table, without
-from cloakwork.llm.textbytes import blocks, words
+from cloakwork.llm.textbytes import blocks, stretches, words
 
 SAMPLE = 20_000
 PAIRS = 60_000
@@ -58,8 +58,10 @@ def _per(total: np.ndarray, of: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(texts, N_FEATURES): byte class shares and their roots, and word statistics."""
     n, size = len(bounds) - 1, np.diff(bounds)
-    row = np.repeat(np.arange(n) * N_CLASSES, size)
-    shares = np.bincount(row + BYTE_CLASS[data], minlength=n * N_CLASSES).reshape(n, -1) / np.maximum(size, 1)[:, None]
+    held = np.zeros(n * N_CLASSES, np.int64)
+    for _, own, row in stretches(data, bounds):
+        held += np.bincount(row * N_CLASSES + BYTE_CLASS[own], minlength=n * N_CLASSES)
+    shares = held.reshape(n, -1) / np.maximum(size, 1)[:, None]
     hashes, at, length = words(data, bounds)
     count = np.bincount(at, minlength=n)
     order = np.lexsort((hashes, at))

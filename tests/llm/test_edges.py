@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ OPERATORS = {
     "hits": lambda s, d, b, l: decontamination.decontaminated(d, b),
     "shards": lambda s, d, b, l: sharding.interleaved_shards(d),
     "quality": lambda s, d, b, l: quality.scored(d, quality.learned(d, l)),
+    "languages": lambda s, d, b, l: language_id.identified(d, language_id.fit(d), F.col("text"), F.lit("en"), F.col("source")),
     "urls": lambda s, d, b, l: url_filters.filter_urls(d, url_col="text"),
 }
 
@@ -91,21 +93,67 @@ def decontaminated(spark, docs):
     return rows
 
 
-def test_language_of_edge_rows(spark):
-    docs = spark.createDataFrame([(k, t * 20, l) for k, (t, l) in enumerate([("the of and to ", "en"), ("der die und das ", "de")] * 5)], "doc_id long, text string, lang string")
+def language_rows(spark, rows):
+    docs = spark.createDataFrame([(k, t * 20, l) for k, (t, l) in enumerate([("the of and to ", "en"), ("der die und das ", "de")] * 8)], "doc_id long, text string, lang string")
     model = language_id.fit(docs)
-    rows = spark.createDataFrame(
-        [("the and of the", None, "x.de"), ("", "de", "x.de"), (None, None, None), ("und der die und", "en", "y.org"), ("", "zz", "y.org")],
-        "t string, declared string, host string",
-    )
-    scored = language_id.with_text_scores(rows, model, "t")
-    out = language_id.fused(scored, model.languages).collect()
-    assert len(out) == 5 and {r["lang"] for r in out} <= {"de", "en"} and all(0 < r["confidence"] <= 1 for r in out)
-    assert language_id.fused(scored.limit(0), model.languages).count() == 0
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, declared string, host string")
+    out = language_id.identified(df, model, F.col("text"), F.col("declared"), F.col("host")).collect()
+    return model, {r["k"]: r for r in out}
+
+
+def test_declaration_and_host_overturn_a_poor_text(spark):
+    sure = [("the and of the to the and of " * 9, "en", "a.org")] * 30 + [("und der die und das der die " * 9, "de", "b.de")] * 30
+    rows = [*sure, ("de", "de", "c.org"), ("de", "en", "c.org"), ("", None, "b.de"), ("", None, "other.b.de"), (None, None, "x.de"), ("", "de", "a.org"), ("", None, None), ("", "zz", "b.de"), ("the and of the to " * 40, "de", "b.de")]
+    model, out = language_rows(spark, rows)
+    n = len(sure)
+    assert [out[n + k]["lang"] for k in range(5)] == ["de", "en", "de", "de", "de"] and out[n + 7]["lang"] == "de"
+    assert out[n + 8]["lang"] == out[n + 8]["text_lang"] == "en" and out[n]["confidence"] < out[n + 8]["confidence"] <= 1
+    # Brute force of the fusion.
+    scores = {}
+    for k, (text, _, _) in enumerate(rows):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        scores[k] = model.score(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(2)
+    best = {k: model.languages[int(np.argmax(v))] for k, v in scores.items()}
+    known = [(r[1], best[k]) for k, r in enumerate(rows) if r[1] in model.languages]
+    trust = (sum(a == b for a, b in known) + 1) / (len(known) + 2)
+
+    def counts(ids):
+        return np.array([sum(best[k] == x for k in ids) for x in model.languages], float)
+
+    def smoothed(n, prior):
+        return (n + language_id.SMOOTHING * prior) / (n.sum() + language_id.SMOOTHING)
+
+    hosts = [r[2] or "" for r in rows]
+    for k, (_, declared, _) in enumerate(rows):
+        prior = smoothed(counts(range(len(rows))), np.full(2, 0.5))
+        for level in (lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h):
+            prior = smoothed(counts([j for j, h in enumerate(hosts) if level(h) == level(hosts[k])]), prior)
+        said = np.array([trust if x == declared else 1 - trust for x in model.languages]) if declared in model.languages else np.ones(2)
+        total = scores[k] + np.log(said) + np.log(prior)
+        posterior = np.exp(total - total.max())
+        assert out[k]["lang"] == model.languages[int(np.argmax(total))] and out[k]["text_lang"] == best[k]
+        assert out[k]["confidence"] == pytest.approx(1 / posterior.sum())
+
+
+def test_language_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.col("lang").alias("label"))
+    rows = language_id.op5_language_evidence(spark, folder).where("doc_id is not null").join(labels, "doc_id")
+    rows = rows.where(language_id.held_out(F.col("doc_id")) & F.col("label").isNotNull())
+    n, right = rows.agg(F.count("*"), F.count_if(F.col("lang") == F.col("label"))).first()
+    assert n > 150 and right / n > 0.98
+
+
+def test_declared_attribute_and_bounded_labels(spark):
+    html = ['<html data-lang="de" lang="en">', '<html xml:lang="de">', "<HTML class=x LANG=fr-CA>", "<html>", None, '<html xml:lang="de" lang="es">']
+    df = spark.createDataFrame(list(enumerate(html)), "k int, h string")
+    assert [r[0] for r in df.orderBy("k").select(language_id.declared_language(F.col("h"))).collect()] == ["en", None, "fr", None, None, "es"]
+    many = spark.range(400).selectExpr("id % 2 AS doc_id", "concat('words ', id) AS text", "concat('l', id % 40) AS lang")
+    assert len(language_id.fit(many, most_languages=5).languages) <= 5
 
 
 def test_language_without_labelled_documents(spark, nothing):
     model = language_id.fit(nothing)
     rows = spark.createDataFrame([("some text", "en", "x.de"), (None, None, None)], "t string, declared string, host string")
-    out = language_id.fused(language_id.with_text_scores(rows, model, "t"), model.languages).collect()
+    out = language_id.identified(rows, model, F.col("t"), F.col("declared"), F.col("host")).collect()
     assert [(r["lang"], r["confidence"]) for r in out] == [("und", 1.0)] * 2
