@@ -14,9 +14,13 @@
    exact, so it loses no link between different texts, and it forms no pairs of copies that
    each have words enough of their own. These pairs are tested alike.
 
-Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are kept;
-rows that share a doc_id are judged by their own text and kept or dropped by the id; a null doc_id
-is kept only where its whole component has none; an empty table gives no rows.
+Joins by a set's digest, which many copies share, broadcast the few digests that hold many rows. A
+pivot with many links meets them in joins that adaptive execution splits.
+
+Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are kept.
+``grouped``: rows that share a doc_id are judged by their own text, and ``kept`` compares ids: true for
+a null doc_id only where its whole component has none. ``deduplicated`` keeps one row of each group, also
+of repeated rows and of rows that share or lack an id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.functions.lineage import settle
-from cloakwork.llm.common import possibly_in, table, without
+from cloakwork.functions.lineage import settle, stored
+from cloakwork.llm.common import joined_by_key, possibly_in, table, without
 from cloakwork.llm.textbytes import BASE, TO_LOWER, blocks, mixed, shingles, words
 
 SHINGLE = 5  # words, by default
@@ -38,6 +42,7 @@ BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 40, 5
+WORD = r"[^\x20\x09-\x0D]"
 OUTPUTS = ("n_shingles", "component_id", "kept")
 #: Expected collisions of registers by chance, from the HyperMinHash paper, for equal sizes.
 COLLISIONS = 0.169919487159739093975315012348 * 2 ** (BUCKET_BITS - MANTISSA_BITS)
@@ -105,12 +110,12 @@ def set_digests(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, node, bands) of each row; ``node`` is the digest of its set."""
+    """(id, text_key, n_shingles, node, bands) of each row; ``node`` is the digest of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches):
         for batch in batches:
-            ids, texts = batch.columns
+            ids, keys_of_texts, texts = batch.columns
             for first, past, data, bounds in blocks(texts):
                 n = past - first
                 hashes, row, _ = words(TO_LOWER[data], bounds)
@@ -119,15 +124,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, n),
+                        keys_of_texts.slice(first, n),
                         pa.array(np.bincount(row, minlength=n)),
                         pa.array(set_digests(hashes, row, n), pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()),
                     ],
-                    ["id", "n_shingles", "node", "bands"],
+                    ["id", "text_key", "n_shingles", "node", "bands"],
                 )
 
-    schema = f"id {id_type}, n_shingles bigint, node binary, bands array<bigint>"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(sketch, schema)
+    schema = f"id {id_type}, text_key bigint, n_shingles bigint, node binary, bands array<bigint>"
+    return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(sketch, schema)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -259,18 +265,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept), a row for each of ``docs``."""
+def placed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, text_key, n_shingles, node, root, component_id), a row for each of ``docs``: ``root`` names
+    a component, and is null for rows without words."""
     rows = settle(sketches(docs, id_col, text_col, size))
     wordy = rows.where(F.col("n_shingles") > 0)
-    classes = wordy.groupBy("node").agg(F.min("id").alias("least_id"))
+    classes = settle(wordy.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("n_rows")))
     firsts = classes.join(wordy, (classes["node"] == wordy["node"]) & classes["least_id"].eqNullSafe(wordy["id"]))
     keyed = firsts.select(classes["node"], F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     # A repeated (id, text) repeats its class here; distinct leaves one.
     members = settle(keyed.join(crowded, "key").distinct())
     reach = members.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    needed = settle(reach.join(classes, "node"))
+    needed = settle(reach.join(classes.drop("n_rows"), "node"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = possibly_in(texts, "id", needed.select("least_id"))
     nodes = settle(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id"))), size))
@@ -289,13 +296,21 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         labels = components(links.unionByName(more))
 
     grown = labels.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    homes = labels.join(grown, "root").select("node", "component_id")
-    homes = classes.join(homes, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    # Texts without words share one digest, but link with nothing: they are their own component.
-    alone = F.col("n_shingles") == 0
-    home = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
-    placed_rows = rows.select("id", "n_shingles", "node").join(homes, "node", "left")
-    return placed_rows.select(
+    homes = labels.join(grown, "root").select("node", "root", "component_id")
+    whole = F.coalesce("component_id", "least_id").alias("component_id")
+    homes = settle(classes.join(homes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), whole, "n_rows"))
+    # Exact copies share their node; the few nodes that hold many rows are broadcast.
+    slim = rows.select("id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    # Texts without words share one digest, but link with nothing: each goes along by itself.
+    slim = slim.withColumn("key", F.coalesce("node", F.xxhash64("id", "text_key").cast("string").cast("binary")))
+    found = joined_by_key(slim, homes.withColumnRenamed("node", "key"), "key", rows.count(), "n_rows", F.xxhash64("id", "text_key"))
+    return found.select("id", "text_key", "n_shingles", "node", "__cw_side.root", "__cw_side.component_id")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), a row for each of ``docs``."""
+    home = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return placed(docs, id_col, text_col, size).select(
         F.col("id").alias(id_col), "n_shingles", home.alias("component_id"), F.col("id").eqNullSafe(home).alias("kept")
     )
 
@@ -320,9 +335,25 @@ def of_the_class(own: DataFrame, size: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose document stays: of each group the one of the least id."""
-    kept = grouped(docs, id_col, text_col, size).where("kept").select(F.col(id_col).alias("__cw_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__cw_id")), "left_semi")
+    """The rows of ``docs`` that stay: of each group one row, the one of the least id (null last), then
+    of the least digest of its text; and all rows without words."""
+    wordy = placed(docs, id_col, text_col, size).where("n_shingles > 0")
+    copies = wordy.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "n")).alias("first")
+    chosen = copies.groupBy("root").agg(first).select(F.col("first.id").alias("__cw_id"), F.col("first.text_key").alias("__cw_key"), F.col("first.n").alias("__cw_n"))
+    # Two groups never share a text, so (id, digest) names one; as files, their size decides the join.
+    chosen = stored(chosen, "kept")
+    has_words = F.coalesce(F.rlike(F.col(text_col), F.lit(WORD)), F.lit(False))
+    own = F.when(has_words, F.xxhash64(text_col)).otherwise(F.monotonically_increasing_id())
+    rows = docs.withColumns({"__cw_own": own, "__cw_wordy": has_words})
+    same = F.col(id_col).eqNullSafe(F.col("__cw_id")) & (F.col("__cw_own") == F.col("__cw_key"))
+    kept = rows.join(chosen, same, "left").where(~F.col("__cw_wordy") | F.col("__cw_n").isNotNull())
+    helpers = ("__cw_own", "__cw_wordy", "__cw_id", "__cw_key", "__cw_n")
+    repeated = F.col("__cw_wordy") & (F.col("__cw_n") > 1)
+    if chosen.where("__cw_n > 1").isEmpty():
+        return kept.drop(*helpers)
+    single = kept.where(~F.coalesce(repeated, F.lit(False)))
+    return single.unionByName(kept.where(repeated).dropDuplicates(["__cw_own", id_col])).drop(*helpers)
 
 
 def op2_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

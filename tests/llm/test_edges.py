@@ -70,6 +70,17 @@ def test_near_duplicates_of_edge_rows(spark, edges):
     assert all(r["component_id"] == 8 for r in by_id[8])
 
 
+def test_one_row_of_each_group_stays(spark, edges, nothing):
+    kept = near_dedup.deduplicated(edges)
+    assert kept.columns == edges.columns and near_dedup.deduplicated(nothing).isEmpty()
+    ids = sorted((r["doc_id"], (r["text"] or "")[:8]) for r in kept.collect() if r["doc_id"] is not None)
+    assert ids == [(0, ""), (1, ""), (2, " \t\n "), (3, "one"), (4, "é😀ß two"), (5, edges.where("doc_id = 5").first()["text"][:8]), (7, "x" * 8), (8, "same id,"), (8, "same id,"), (9, "a repeat")]
+    text = "seven words that stand without an id"
+    rows = [(None, text), (None, text), (None, text + " x"), (4, text), (4, text), (None, "alone here with five words"), (None, None), (None, None)]
+    out = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(4, text), (None, "alone here with five words"), (None, None), (None, None)], key=str)
+
+
 def test_sizes_of_edge_rows(spark, edges):
     shards = {(r["doc_id"], r["text"]): r for r in sharding.interleaved_shards(edges, n_shards=3).collect()}
     counts = sharding.interleaved_shards(edges, n_shards=3).groupBy("shard").agg(F.count("*").alias("n"), F.collect_set("slot").alias("s")).collect()
