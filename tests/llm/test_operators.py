@@ -248,9 +248,15 @@ def brute_sketch(text):
             h = xxhash.xxh64_intdigest(w.encode(), h)
         return h - 2**64 if h >= 2**63 else h
 
-    found = {hashed(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-    low = {h for h in found if h < -(2**63) + 2**61} or ({min(found)} if found else set())
-    return {h & (2**40 - 1) for h in low}
+    found = [(hashed(words[k : k + 5]) % 2**64) >> 24 for k in range(max(1, len(words) - 4))] if words else []
+    return (1, set(found)) if len(found) <= 64 else (4, {h for h in found if h < 2**38})
+
+
+def brute_containment(one, other):
+    scale = max(one[0], other[0])
+    a, b = ({h for h in x[1] if h < 2**40 // scale} for x in (one, other))
+    smaller = min(len(a), len(b))
+    return 1.0 if one == other else len(a & b) / smaller if smaller else 0.0
 
 
 def test_fingerprints_like_brute_force(spark):
@@ -266,10 +272,23 @@ def test_fingerprints_like_brute_force(spark):
         edited = own[: len(own) - cut] + following[:cut]
         assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = brute_sketch(own), brute_sketch(edited), brute_sketch(following)
-        assert r["fingerprint"] == "".join(f"{h:010x}" for h in sorted(a)) and r["edited_fingerprint"] == "".join(f"{h:010x}" for h in sorted(b))
-        for got, other in ((r["near_edited"], b), (r["near_next"], c)):
-            smaller = min(len(a), len(other))
-            assert got == pytest.approx(len(a & other) / smaller if smaller else float(a == other))
+        assert r["fingerprint"] == f"{a[0]}:" + "".join(f"{h:010x}" for h in sorted(a[1])) and r["edited_fingerprint"].startswith(f"{b[0]}:")
+        assert r["near_edited"] == pytest.approx(brute_containment(a, b)) and r["near_next"] == pytest.approx(brute_containment(a, c))
+
+
+@pytest.mark.parametrize("n_rows", [10, 40 * fingerprints.ROWS_A_RANGE])
+def test_next_document_of_shared_and_missing_ids(spark, monkeypatch, n_rows):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 5 if n_rows > 10 else 2000)
+    draw = random.Random(31)
+    rows = [(draw.choice([None, 7, 7, 7, 1, 2, 9]), f"text number {k} " + prose(draw, 5)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.fingerprinted(docs, n_rows=n_rows if n_rows > 10 else None).select("text", "edited_sha256").collect()
+    ties = {r["text"]: r["t"] for r in docs.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]), reverse=True)]
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    for r in out:
+        own, cut = r["text"], len(r["text"]) // 3
+        assert r["edited_sha256"] == hashlib.sha256((own[: len(own) - cut] + following[own][:cut]).encode()).hexdigest()
 
 
 def test_containment_of_unequal_documents_and_merging(spark):
@@ -281,6 +300,27 @@ def test_containment_of_unequal_documents_and_merging(spark):
     assert got["c"] > 0.97 and got["m"] > 0.97
 
 
+def test_short_texts_in_long_ones(spark):
+    """Texts of 5 to 40 words, cut from a long one or foreign to it; and sketches that merge to the whole's."""
+    draw = random.Random(17)
+    whole = prose(draw, 6000).split()
+    rows = []
+    for n in range(5, 41):
+        for _ in range(10):
+            at = draw.randrange(len(whole) - n)
+            rows.append((n, " ".join(whole[at : at + n]), prose(draw, n), " ".join(whole)))
+    df = spark.createDataFrame(rows, "n int, inside string, foreign string, whole string")
+    i, f, w = (fingerprints.sketch(F.col(c)) for c in ("inside", "foreign", "whole"))
+    out = df.select("n", fingerprints.containment(i, w).alias("i"), fingerprints.containment(f, w).alias("f"), (fingerprints.merged(i, f)["hashes"] == F.array_sort(F.array_union(i["hashes"], f["hashes"]))).alias("m")).collect()
+    assert all(r["f"] == 0 and r["m"] and r["i"] in (0.0, 1.0) for r in out)
+    found = {low: np.mean([r["i"] for r in out if low <= r["n"] < low + 12]) for low in (5, 17, 29)}
+    assert found[5] > 0.5 and found[17] > 0.95 and found[29] > 0.99
+    half = len(whole) // 2
+    parts = spark.createDataFrame([(" ".join(whole[: half + 4]), " ".join(whole[half:]), " ".join(whole))], "a string, b string, w string")
+    a, b, w = (fingerprints.sketch(F.col(c)) for c in "abw")
+    assert parts.select(fingerprints.merged(a, b) == w).first()[0]
+
+
 # --- decontamination ---------------------------------------------------------
 
 
