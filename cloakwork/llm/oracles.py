@@ -160,7 +160,7 @@ SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, crc AS text_crc32, 'rows'
 
 # --- op10 --------------------------------------------------------------------
 
-_PATHS = ", ".join(f"({q(r.name)}, {q(r.verdict)}, {q(r.name.split('/')[0])}, {q('/' + r.name.partition('/')[2])})" for r in PATH_RULES)
+_PATHS = ", ".join(f"({q(r.name)}, {q(r.verdict)}, {q(r.host)}, {q(r.prefix)})" for r in PATH_RULES)
 _PATTERNS = ", ".join(f"({q(r.name)}, {q(r.verdict)}, {q(r.regex)})" for r in PATTERN_RULES)
 OP10 = f"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, {ascii_lower(f"coalesce(regexp_extract(url, {q(URL)}, 1), '')")} AS host, coalesce(regexp_extract(url, {q(URL)}, 2), '') AS path FROM pages),

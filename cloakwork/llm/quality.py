@@ -137,22 +137,25 @@ def with_features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return source.mapInArrow(extract, f"x array<double>{kept}")
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
-    """Fit on at most SAMPLE labelled documents outside the held-out fold, the first by digest;
+def learned(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int | None = None
+) -> Ranking:
+    """Fit on at most ``sample`` (SAMPLE) labelled documents outside the held-out fold, the first by digest;
     the cut is taken over all of them."""
+    sample = SAMPLE if sample is None else sample
     usable = labels.select(F.col(id_col).alias("__cw_id"), F.col(label_col).alias("__cw_label")).where(
         F.col("__cw_label").isin(0, 1) & F.col("__cw_id").isNotNull() & ~held_out(F.col("__cw_id"))
     )
     ids = docs.select(F.col(id_col).alias("__cw_id"))
     usable = usable.distinct().join(ids, "__cw_id", "left_semi")
-    chosen = usable.orderBy(seeded_key("quality", F.col("__cw_id")), "__cw_id", "__cw_label").limit(SAMPLE)
+    chosen = usable.orderBy(seeded_key("quality", F.col("__cw_id")), "__cw_id", "__cw_label").limit(sample)
     texts = docs.select(F.col(id_col).alias("__cw_of"), F.coalesce(F.col(text_col), F.lit("")).alias("__cw_text"))
     labelled = texts.join(F.broadcast(chosen), F.col("__cw_of") == F.col("__cw_id"))
     labelled = labelled.groupBy("__cw_id", "__cw_label").agg(F.min("__cw_text").alias("__cw_text"))
     rows = with_features(labelled, ["__cw_id", "__cw_label"], "__cw_text").toPandas().sort_values(["__cw_id", "__cw_label"])
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
     model = fit(x, rows["__cw_label"].to_numpy())
-    if len(rows) < SAMPLE or rows["__cw_label"].nunique() < 2:
+    if len(rows) < sample or rows["__cw_label"].nunique() < 2:
         return model
     return replace(model, cut=cut_over(docs, usable, model, id_col, text_col))
 

@@ -457,6 +457,40 @@ def test_exact_quantile_like_numpy(spark):
             assert quality.exact_quantile(df, len(values), share, 16) == pytest.approx(np.quantile(values, share), rel=1e-9, abs=1e-15)
 
 
+def test_features_like_brute_force():
+    draw = random.Random(41)
+    texts = ["".join(draw.choice("ab AB1.,é#!\n\x01?x y ") for _ in range(draw.randrange(80))) for _ in range(60)] + ["", "w w w", "é" * 9]
+    data = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got = quality.features(np.frombuffer(b"".join(data), np.uint8), bounds)
+    for k, raw in enumerate(data):
+        shares = [0.0] * quality.N_CLASSES
+        for b in raw:
+            shares[quality.BYTE_CLASS[b]] += 1 / len(raw)
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        n, sizes = max(len(words), 1), [len(w) for w in words]
+        more = [len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(sizes) / n, (sum(x * x for x in sizes) / n) ** 0.5, sum(x <= 3 for x in sizes) / n]
+        more += [np.log1p(len(words)), np.log1p(len(words)) ** 2 / 10]
+        assert got[k] == pytest.approx([*shares, *np.sqrt(shares), *more])
+
+
+def test_fit_is_at_the_optimum_of_the_pairwise_loss(monkeypatch):
+    """Plain gradient descent on the same pairs ends where the fit does."""
+    monkeypatch.setattr(quality, "PAIRS", 400)
+    noise = np.random.default_rng(1)
+    label = (np.arange(200) % 2).astype(int)
+    x = noise.normal(size=(200, 3)) + label[:, None] * np.array([0.8, -0.5, 0.0])
+    model = quality.fit(x, label)
+    scale = x.std(axis=0)
+    draw, z = np.random.default_rng(5), x / scale
+    diff = z[draw.choice(np.flatnonzero(label == 1), 400)] - z[draw.choice(np.flatnonzero(label == 0), 400)]
+    w = np.zeros(3)
+    for _ in range(4000):
+        w += 0.5 * ((diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) - quality.RIDGE * w)
+    assert model.weights * scale == pytest.approx(w, abs=1e-4)
+    assert model.cut == pytest.approx(np.quantile(z @ w, 0.5), abs=1e-3)
+
+
 def test_ranking_learns_an_order():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(400, 4))
@@ -531,6 +565,15 @@ def test_url_rules(spark):
         ("http://spam-farm.example.net/de/1", "net/de/", "allow"),
         ("http://x.org/setup.exe?x", None, "block"),
         ("http://spamfarm.org/", None, "allow"),
+        ("http://x.org/a/calendar/2031/4", None, "block"),
+        ("http://x.org/mycalendar/2031/4", None, "allow"),
+        ("http://x.org/a;jsessionid=0aF?x", None, "block"),
+        ("http://x.org/Tag/red/Page/3", None, "block"),
+        ("http://x.org/research", None, "allow"),
+        ("http://x.org/search.php?q=1", None, "block"),
+        ("http://10.0.0.1:80/a", None, "block"),
+        ("http://a.best-poker24.io", None, "block"),
+        ("http://x.org/poker.html", None, "allow"),
         ("no scheme", None, "allow"),
         (None, None, "allow"),
         ("", None, "allow"),
@@ -541,15 +584,20 @@ def test_url_rules(spark):
     assert [rows[k] for k in range(len(cases))] == [c[1:] for c in cases]
 
 
-def test_index_finds_what_all_rules_would(spark):
+@pytest.mark.parametrize("literal_rules", [url_filters.LITERAL_RULES, 0])
+def test_index_finds_what_all_rules_would(spark, monkeypatch, literal_rules):
+    monkeypatch.setattr(url_filters, "LITERAL_RULES", literal_rules)
     draw = random.Random(21)
     words = ["alpha", "beta", "gamma", "delta", "x1"]
     rules = [url_filters.path_rule(draw.choice(["allow", "block"]), f"{draw.choice(words)}.com/{draw.choice(words)}/{draw.choice(words)[:3]}") for _ in range(60)]
+    patterns = [url_filters.Rule(f"p{k}", "block", (w := draw.choice(words),), rf"/{w}/[{draw.choice('abgdx')}][a-z0-9]+$") for k in range(30)]
     urls = [f"http://{draw.choice(['', 'www.'])}{draw.choice(words)}.com/{draw.choice(words)}/{draw.choice(words)}" for _ in range(200)]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
-    for r in url_filters.filter_urls(pages, tuple(rules), ()).collect():
-        fit = [x.name for x in rules if re.search(x.regex, r["host"] + r["path"])]
+    for r in url_filters.filter_urls(pages, tuple(rules), tuple(patterns)).collect():
+        fit = [x.name for x in rules if (r["host"] == x.host or r["host"].endswith("." + x.host)) and r["path"].startswith(x.prefix)]
         assert r["rule"] == (max(fit, key=lambda n: (len(n), n)) if fit else None)
+        found = [x.name for x in patterns if re.search(x.regex, r["host"] + r["path"])]
+        assert r["pattern_rule"] == (min(found) if found else None)
 
 
 # --- queries -----------------------------------------------------------------
