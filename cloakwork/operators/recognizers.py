@@ -51,7 +51,8 @@ IPV4_PATTERN = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 IPV6_PATTERN = r"(?<![0-9A-Za-z:.])(?:[0-9A-F]{0,4}:){2,7}[0-9A-F]{0,4}(?![0-9A-Za-z:.])"
 PHONE_PATTERN = (
     r"(?<![\w+.-])(?:"
-    r"(?:\+91[- ]?|0)?[6-9]\d{4}[- ]?\d{5}"  # India
+    r"(?:\+ ?91[- ]?|0)?[6-9]\d{4}[- ]?\d{5}"  # India: mobiles
+    r"|(?:\+ ?91[- ]?|0)(?:11|20|22|33|40|44|79|80)[- ]?[2-7]\d{3}[- ]?\d{4}"  # India: fixed lines of large cities
     r"|(?:\+1[- ]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])[2-9]\d{2}[-. ]\d{4}"  # United States
     r"|(?:\+44[- ]?|0)(?:20|1\d{2,3}|7\d{3})[- ]?\d{3,4}[- ]?\d{3,4}"  # Great Britain
     r")(?![\w-])"

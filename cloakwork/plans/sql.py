@@ -79,6 +79,9 @@ def seed(seed_value: int, entity_type: str, value: str, attempt: str = "'0'") ->
     return f"CAST(concat('0x', substr(sha256({material}), 1, 15)) AS BIGINT)"
 
 
+FAKED = tuple(ENTITY_TYPES)
+
+
 def fake(entity_type: str, n: str) -> str:
     """The first attempt's fake for a type, from the number ``n``."""
     given, family = listed(GIVEN_NAMES), listed(FAMILY_NAMES)
@@ -102,6 +105,8 @@ def fake(entity_type: str, n: str) -> str:
         "IN_DIN": f"concat('DIN-TEST-', {numbered(n, 100_000_000, 8)})",
         "IN_AADHAAR": f"concat('0000 0000 ', {numbered(n, 9_999, 4, 1)})",
         "IN_CIN": f"concat('L00000ZZ2000PLC', {numbered(n, 1_000_000, 6)})",
+        "PHYSICAL_ADDRESS": f"concat(CAST(({n}) % 999 + 1 AS VARCHAR), ' Example Road, Test Nagar, Bengaluru, Karnataka 560001')",
+        "DATE_OF_BIRTH": f"strftime(DATE '1945-01-01' + CAST(({n}) % 22645 AS INT), '%d %B %Y')",
     }[entity_type]
 
 

@@ -420,5 +420,19 @@ def package_from(paragraph_runs: list[list[str]], extra: dict[str, bytes] | None
     return out.getvalue()
 
 
+def hidden_parts(name: str) -> dict[str, bytes]:
+    """Parts that tell who made a document, for tests and examples: properties, a comment, a link."""
+    who = _escaped(name)
+    core = f'<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>{who}</dc:creator><dc:title>{who}</dc:title></c>'
+    comment = f'<w:comments xmlns:w="{WORD[1:-1]}"><w:comment w:author="{who}" w:rsidR="1"><w:p/></w:comment></w:comments>'
+    space = "http://schemas.openxmlformats.org/package/2006/relationships"
+    links = (
+        f'<Relationships xmlns="{space}"><Relationship Id="1" Type="x/hyperlink" Target="mailto:who@example.org" TargetMode="External"/>'
+        f'<Relationship Id="2" Type="x{CUSTOM_RELATION}" Target="{CUSTOM_PARTS[0]}"/></Relationships>'
+    )
+    named = {"docProps/core.xml": core, "docProps/app.xml": f"<p><Company>{who}</Company></p>", "word/comments.xml": comment}
+    return {k: v.encode() for k, v in (named | {CUSTOM_PARTS[0]: "<p/>", "word/_rels/document.xml.rels": links}).items()}
+
+
 def _escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")

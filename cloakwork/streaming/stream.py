@@ -31,38 +31,35 @@ def windowed_counts(spans: DataFrame, time_col: str, width: str = "1 hour", late
     )
 
 
-def merged_registry(known: DataFrame, rows: DataFrame, batch: int, unicode: bool = True) -> DataFrame:
-    """The registry (doc_id, entity_type, normalized_original, occurrences, first, batch...) with
-    the spans of a batch added: values that were seen keep their place, so their fakes stay."""
-    keyed = rows.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
-    place = F.struct(F.lit(batch).cast("bigint").alias("batch"), "unit_no", "start", "value")
-    fresh = keyed.groupBy("doc_id", "entity_type", "normalized_original").agg(F.count("*").alias("occurrences"), F.min(place).alias("first"))
-    both = known.unionByName(fresh)
-    return both.groupBy("doc_id", "entity_type", "normalized_original").agg(F.sum("occurrences").alias("occurrences"), F.min("first").alias("first"))
-
-
 REGISTRY_SCHEMA = (
     "doc_id bigint, entity_type string, normalized_original string, occurrences bigint, "
     "first struct<batch:bigint,unit_no:bigint,start:int,value:string>"
 )
 
 
+def registry_delta(rows: DataFrame, batch: int, unicode: bool = True) -> DataFrame:
+    """What a batch of spans adds to the registry (doc_id, entity_type, normalized_original, occurrences, first)."""
+    keyed = rows.withColumn("normalized_original", normalized(F.col("entity_type"), F.col("value"), unicode))
+    place = F.struct(F.lit(batch).cast("bigint").alias("batch"), "unit_no", "start", "value")
+    return keyed.groupBy("doc_id", "entity_type", "normalized_original").agg(F.count("*").alias("occurrences"), F.min(place).alias("first"))
+
+
 def start_registry(spans: DataFrame, folder: str, checkpoint: str, unicode: bool = True) -> StreamingQuery:
-    """Keep a registry in ``folder``: version ``n`` follows batch ``n``, so a batch that is run
-    again after a failure starts from the same version and writes the same one."""
+    """Keep a registry in ``folder``: each batch writes its own additions, so its cost follows the batch,
+    and a batch that is run again after a failure writes the same ones."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = registry_at(spark, folder, number - 1)
-        merged_registry(earlier, batch, number, unicode).write.mode("overwrite").parquet(f"{folder}/v{number}")
+    def add(batch: DataFrame, number: int) -> None:
+        registry_delta(batch, number, unicode).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return spans.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spans.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def registry_at(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The registry after batch ``number``: values that were seen keep their place, so their fakes stay."""
     if number < 0:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{folder}/v{number}")
+    added = spark.read.schema(f"{REGISTRY_SCHEMA}, batch bigint").parquet(folder).where(F.col("batch") <= number)
+    return added.groupBy("doc_id", "entity_type", "normalized_original").agg(F.sum("occurrences").alias("occurrences"), F.min("first").alias("first"))
 
 
 def registry_mappings(registry: DataFrame, seed: int) -> DataFrame:
