@@ -220,10 +220,13 @@ def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int
     among their prefixes, and the places of the first one that they share leave room for the
     overlap they need. Copies that each have their own ninth or more of other words don't pass.
     """
-    placed = edges.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_pivots = placed.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pivot")
+    placed = settle(edges.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    by_pivot = placed.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_rows"))
+    mixed_pivots = settle(by_pivot.where("low <> high").select("pivot", "n_rows"))
+    # The pivots of many members are broadcast.
+    around = joined_by_key(placed, mixed_pivots, "pivot", placed.count(), "n_rows", F.xxhash64("node")).where("__cw_side is not null")
     # The pivot itself was tested against all of its members.
-    still_open = placed.join(mixed_pivots, "pivot").where(F.col("node") != F.col("pivot"))
+    still_open = settle(around.where(F.col("node") != F.col("pivot")).select("pivot", "node", "root"))
     tokens = settle(leading_tokens(still_open.select("pivot", "node"), nodes, size))
     rarity = tokens.groupBy("pivot", "token").agg(F.count("*").alias("freq"))
     # A node has only the first of its late hashes here, so these go by themselves, not by rarity.
