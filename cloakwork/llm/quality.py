@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.lineage import settle
-from cloakwork.llm.common import seeded_key, table, without
+from cloakwork.llm.common import possibly_in, seeded_key, table, without
 from cloakwork.llm.textbytes import blocks, stretches, words
 
 SAMPLE = 20_000
@@ -170,6 +170,7 @@ def cut_over(docs: DataFrame, usable: DataFrame, model: Ranking, id_col: str, te
                 yield pa.RecordBatch.from_arrays([pa.array(features(data, bounds) @ model.weights), ids], ["v", "__cw_id"])
 
     source = docs.select(F.col(text_col).alias("__cw_text"), F.col(id_col).alias("__cw_id"))
+    source = possibly_in(source, "__cw_id", usable.select("__cw_id")).select("__cw_text", "__cw_id")
     each = source.mapInArrow(strengths, f"v double, __cw_id {source.schema['__cw_id'].dataType.simpleString()}")
     each = each.groupBy("__cw_id").agg(F.min("v").alias("v"))
     values = settle(each.join(usable, "__cw_id").select("v", "__cw_label"))
