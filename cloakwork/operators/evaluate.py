@@ -84,7 +84,7 @@ def entity_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def token_rows(cases: DataFrame) -> DataFrame:
     """(dataset, case_id, token_no, start, end): white-space tokens of each case."""
-    each = cases.select(*CASE, F.posexplode(tokens(F.coalesce("text", F.lit("")))).alias("token_no", "t"))
+    each = cases.select(*CASE, F.posexplode_outer(tokens(F.coalesce("text", F.lit("")))).alias("token_no", "t")).where("t is not null")
     return each.select(*CASE, "token_no", "t.start", "t.end")
 
 

@@ -189,7 +189,7 @@ def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id", overrides: O
     """Replacements for distinct (scope, entity_type, normalized_original, occurrences, first)."""
     record = F.struct("first", "entity_type", "normalized_original", "occurrences")
     ordered = distinct.groupBy(scope).agg(F.array_sort(F.collect_list(record)).alias("records"))
-    each = ordered.select(scope, F.posexplode(settled_records(seed, overrides)).alias("first_no", "m"))
+    each = ordered.select(scope, F.posexplode_outer(settled_records(seed, overrides)).alias("first_no", "m")).where("m is not null")
     return each.select(scope, "m.*", "first_no")
 
 

@@ -209,5 +209,5 @@ def with_candidates(units: DataFrame, rules: Sequence[Rule], text_col: str = "te
 
 def spans(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str], text_col: str = "text") -> DataFrame:
     """One row a candidate: ``keep`` columns, the candidate's fields and its value."""
-    found = with_candidates(units, rules, text_col).select(*keep, text_col, F.explode("candidates").alias("c"))
+    found = with_candidates(units, rules, text_col).select(*keep, text_col, F.explode_outer("candidates").alias("c")).where("c is not null")
     return found.select(*keep, "c.*", piece(F.col(text_col), F.col("c.start"), F.col("c.end")).alias("value"))

@@ -55,7 +55,7 @@ def replay_hits(texts: DataFrame, mappings: DataFrame, text_col: str = "redacted
     scanned, each with its own alternation.
     """
     patterns = replay_patterns(replay_dictionary(mappings, unicode=unicode))
-    scanned = texts.join(patterns, "doc_id").withColumn("hit", F.explode(find_all(F.col(text_col), F.col("pattern"))))
+    scanned = texts.join(patterns, "doc_id").withColumn("hit", F.explode_outer(find_all(F.col(text_col), F.col("pattern")))).where("hit is not null")
     fold = casefold if unicode else F.lower
     typed = scanned.withColumn("entity_type", F.element_at("by_key", fold(F.col("hit.value"))))
     return typed.select("doc_id", "unit_no", "hit.start", "hit.end", "hit.value", "entity_type")

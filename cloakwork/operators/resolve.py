@@ -118,5 +118,6 @@ def resolved_column(text_col: str, candidates_col: str) -> Column:
 
 def entity_rows(detected: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
     """One row a resolved span, with its value."""
-    each = detected.select(*keep, text_col, F.explode("entities").alias("c"))
+    # A plain explode would infer a filter on the array's size, and so detect everything twice.
+    each = detected.select(*keep, text_col, F.explode_outer("entities").alias("c")).where("c is not null")
     return each.select(*keep, "c.*", piece(F.col(text_col), F.col("c.start"), F.col("c.end")).alias("value"))

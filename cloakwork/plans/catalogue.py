@@ -74,7 +74,7 @@ def rule_spans(name: str, rule: Rule) -> None:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = read(spark, d, "documents").select("doc_id", "text")
-        hits = docs.select("doc_id", F.explode(find_all(F.col("text"), rule.flags + rule.pattern)).alias("h"))
+        hits = docs.select("doc_id", F.explode_outer(find_all(F.col("text"), rule.flags + rule.pattern)).alias("h")).where("h is not null")
         return hits.select("doc_id", "h.start", "h.end", "h.value")
 
     run.__name__ = name
@@ -333,7 +333,7 @@ def denylist_hits(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.span_select("(SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')) AS text FROM pages) p", "page_id", "text", EMAIL.flags + EMAIL.pattern))
 def pages_email_spans(spark: SparkSession, d: str) -> DataFrame:
     units = html_units(read(spark, d, "pages"))
-    hits = units.select("page_id", F.explode(find_all(F.col("text"), EMAIL.flags + EMAIL.pattern)).alias("h"))
+    hits = units.select("page_id", F.explode_outer(find_all(F.col("text"), EMAIL.flags + EMAIL.pattern)).alias("h")).where("h is not null")
     return hits.select("page_id", "h.start", "h.end", "h.value")
 
 
@@ -348,7 +348,7 @@ def all_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query(RESOLVED_SQL + ' SELECT doc_id, entity_type, start, "end", score, recognizer, value FROM adm')
 def admitted_candidates(spark: SparkSession, d: str) -> DataFrame:
     found = recognizers.with_candidates(doc_units(spark, d), CORE_BARE)
-    kept = found.select("doc_id", "text", F.explode(F.filter("candidates", lambda c: admitted(F.col("text"), c))).alias("c"))
+    kept = found.select("doc_id", "text", F.explode_outer(F.filter("candidates", lambda c: admitted(F.col("text"), c))).alias("c")).where("c is not null")
     return kept.select("doc_id", "c.*", piece(F.col("text"), F.col("c.start"), F.col("c.end")).alias("value")).select(*SPAN_COLUMNS)
 
 
@@ -359,7 +359,7 @@ def admitted_candidates(spark: SparkSession, d: str) -> DataFrame:
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of different rules that overlap: pairs within the short array of a text."""
     found = recognizers.with_candidates(doc_units(spark, d), CORE_BARE).select("doc_id", "candidates")
-    each = found.select("doc_id", "candidates", F.explode("candidates").alias("a"))
+    each = found.select("doc_id", "candidates", F.explode_outer("candidates").alias("a")).where("a is not null")
     over = F.filter("candidates", lambda b: (F.col("a.ordinal") < b["ordinal"]) & overlaps(F.col("a"), b))
     pairs = each.select("doc_id", "a", F.explode(over).alias("b"))
     return pairs.select("doc_id", F.col("a.recognizer").alias("one"), F.col("b.recognizer").alias("other"), F.col("a.start").alias("one_start"), F.col("b.start").alias("other_start"))

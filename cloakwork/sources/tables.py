@@ -44,7 +44,7 @@ def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
         lambda s: s["units"],
     )
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(offsets).alias("unit_no", "u"))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(offsets).alias("unit_no", "u")).where("u is not null")
     return each.select("doc_id", F.col("unit_no").cast("bigint").alias("unit_no"), "u.offset", "u.text")
 
 
