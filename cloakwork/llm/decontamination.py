@@ -54,46 +54,42 @@ def words_of(text: Column) -> Column:
 
 
 class Search(NamedTuple):
-    """Windows (window, words) and their items (window, item); a match holds ``least`` of the places."""
+    """Windows (window, near, words), exact ones and tiles, and their items (window, item)."""
 
     windows: DataFrame
     items: DataFrame
-    least: float
-    slop: int
 
-    def lacks(self, n: Column) -> Column:
-        """How many of ``n`` places a match may lack."""
-        whole = F.ceil(n * self.least - 1e-9).cast("int")
-        return F.when(n < WINDOW, 0).otherwise(n - whole)
 
+def lacks(near: Column, n: Column) -> Column:
+    """How many of a window's ``n`` places a match may lack: none, but in a whole tile."""
+    return F.when(near & (n >= WINDOW), n - F.ceil(n * LEAST - 1e-9).cast("int")).otherwise(0)
 
-def _search(pieces: DataFrame, least: float, slop: int) -> Search:
-    """From (item, words): equal windows are one, with a number of its own."""
-    windows = stored(pieces.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
-    items = stored(pieces.join(windows, "words").select("window", "item").distinct(), "window-items")
-    return Search(windows, items, least, slop)
 
+def slop(near: Column) -> Column:
+    return F.when(near, SLOP).otherwise(0)
 
-def searches(benchmark: DataFrame, near: bool, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[Search]:
-    """Exact matches of all windows, and if ``near`` proximity matches of the tiles."""
+
+def search(benchmark: DataFrame, near: bool, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Search:
+    """All windows, for exact matches, and if ``near`` the tiles; equal ones are one, with a number of its own."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     items = benchmark.select(name.alias("item"), words_of(F.col(text_col)).alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.lit(1), F.size("all") - window + 1)
 
-    def cut(starts: Column) -> DataFrame:
+    def cut(starts: Column, near: bool) -> DataFrame:
         each = items.select("item", "all", F.explode(starts).alias("at"))
-        return each.select("item", F.slice("all", F.col("at"), window).alias("words"))
+        return each.select("item", F.lit(near).alias("near"), F.slice("all", F.col("at"), window).alias("words"))
 
-    found = [_search(cut(F.sequence(F.lit(1), last)), 1.0, 0)]
+    pieces = cut(F.sequence(F.lit(1), last), False)
     if near:
         tiles = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(window)), lambda at: F.least(at, last))
-        found.append(_search(cut(F.array_distinct(tiles)), LEAST, SLOP))
-    return found
+        pieces = pieces.unionByName(cut(F.array_distinct(tiles), True))
+    windows = stored(pieces.select("near", "words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    return Search(windows, stored(pieces.join(windows, ["near", "words"]).select("window", "item").distinct(), "window-items"))
 
 
-def vocabulary_of(benchmark_searches: list[Search]) -> DataFrame:
-    """(word, term): every word of a window, with a number. Every word of an item is in a window."""
-    words = benchmark_searches[0].windows.select(F.explode("words").alias("word")).distinct()
+def vocabulary_of(windows: DataFrame) -> DataFrame:
+    """(word, term): every word of a window, with a number."""
+    words = windows.select(F.explode("words").alias("word")).distinct()
     return stored(words.withColumn("term", F.monotonically_increasing_id()), "vocabulary")
 
 
@@ -132,87 +128,85 @@ def indexed(docs: DataFrame, vocabulary: DataFrame, own: dict[str, Column], text
     return stored(known.where(F.col("term").isNotNull() | F.col("head")).drop("word"), "postings")
 
 
-def ranked_terms(search: Search, vocabulary: DataFrame, freq: DataFrame) -> DataFrame:
-    """(window, n, place, term, rank): the rarest word of a window has rank 0."""
-    places = search.windows.select("window", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+def ranked_terms(windows: DataFrame, vocabulary: DataFrame, freq: DataFrame) -> DataFrame:
+    """(window, near, n, place, term, rank): the rarest word of a window has rank 0."""
+    places = windows.select("window", "near", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
     known = places.join(vocabulary, "word").join(freq, "term", "left")
     rarest_first = Window.partitionBy("window").orderBy(F.coalesce("freq", F.lit(0)), "place")
-    return stored(known.select("window", "n", "place", "term", (F.row_number().over(rarest_first) - 1).alias("rank")), "terms")
+    return stored(known.select("window", "near", "n", "place", "term", (F.row_number().over(rarest_first) - 1).alias("rank")), "terms")
 
 
 def starts_at(lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, window, n, start): where a window would start by the postings of some of its words."""
-    found = joined(lists, terms.select("term", "window", "n", "place"), "term", terms.count())
-    return found.select("row", "window", "n", (F.col("position") - F.col("place")).alias("start"))
+    """(row, window, near, n, start): where a window would start by the postings of some of its words."""
+    found = joined(lists, terms.select("term", "window", "near", "n", "place"), "term", terms.count())
+    return found.select("row", "window", "near", "n", (F.col("position") - F.col("place")).alias("start"))
 
 
-def possible_starts(search: Search, lists: DataFrame, terms: DataFrame) -> DataFrame:
+def possible_starts(lists: DataFrame, terms: DataFrame) -> DataFrame:
     """(row, window, start): starts that the rarest words' lists leave."""
-    lacks = search.lacks(F.col("n"))
-    first = stored(starts_at(lists, terms.where(F.col("rank") <= lacks)), "starts")
+    may_lack = lacks(F.col("near"), F.col("n"))
+    first = stored(starts_at(lists, terms.where(F.col("rank") <= may_lack)), "starts")
     both = F.xxhash64("row", "window")
-    second = starts_at(lists, terms.where(F.col("rank") == lacks + 1)).withColumn("__cw_pair", both)
+    second = starts_at(lists, terms.where(F.col("rank") == may_lack + 1)).withColumn("__cw_pair", both)
     second = possibly_in(second, "__cw_pair", first.select(both.alias("__cw_wanted"))).drop("__cw_pair")
     along = Window.partitionBy("row", "window").orderBy("start")
     before, after = F.col("start") - F.lag("start").over(along), F.lead("start").over(along) - F.col("start")
-    beside = F.least(before, after) <= search.slop  # nulls are no neighbours
+    beside = F.least(before, after) <= slop(F.col("near"))  # nulls are no neighbours
     near = first.unionByName(second).withColumn("beside", beside).where(F.coalesce("beside", F.lit(False)) | (F.col("n") == 1))
     return near.select("row", "window", "start").distinct()
 
 
-def matches(search: Search, lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, window, start, n, share): every match by its first start; share is of the window's places."""
-    possible = stored(possible_starts(search, lists, terms), "possible")
-    wanted = possible.join(terms.select("window", "n", "place", "term"), "window")
-    low, high = (F.col("start") + F.col("place") + d for d in (-search.slop, search.slop))
+def matches(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, window, near, start, n, share): every match by its first start; share is of the window's places."""
+    possible = stored(possible_starts(lists, terms), "possible")
+    wanted = possible.join(terms.select("window", "near", "n", "place", "term"), "window")
+    low, high = (F.col("start") + F.col("place") + sign * slop(F.col("near")) for sign in (-1, 1))
     blocks = F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))
-    wanted = wanted.select("row", "window", "n", "place", "term", low.alias("low"), high.alias("high"), F.explode(blocks).alias("block"))
+    wanted = wanted.select("row", "window", "near", "n", "place", "term", low.alias("low"), high.alias("high"), F.explode(blocks).alias("block"))
     # Of the lists, only the blocks that some start asks for go on.
     place = F.xxhash64("row", "term", "block")
     there = lists.withColumn("block", F.floor(F.col("position") / BLOCK)).withColumn("__cw_place", place)
     there = possibly_in(there, "__cw_place", wanted.select(place.alias("__cw_wanted"))).drop("__cw_place")
     found = there.join(wanted, ["row", "term", "block"]).where(F.col("position").between(F.col("low"), F.col("high")))
-    found = found.select("row", "window", "n", "place", "position", (F.col("position") - F.col("place")).alias("start")).distinct()
-    if search.slop:
-        reach = Window.partitionBy("row", "window").orderBy("start").rangeBetween(0, search.slop)
-        # One word of the document stands for one place alone.
-        held = F.least(*(F.size(F.collect_set(c).over(reach)) for c in ("place", "position")))
-        found = found.withColumn("held", held).groupBy("row", "window", "start", "n").agg(F.max("held").alias("held"))
-    else:
-        found = found.groupBy("row", "window", "start", "n").agg(F.count("*").alias("held"))
-    return found.where(F.col("held") >= F.col("n") - search.lacks(F.col("n"))).withColumn("share", F.col("held") / F.col("n"))
-
-
-def items_by_row(found: DataFrame, search: Search, name: str) -> DataFrame:
-    each = found.select("row", "window").distinct().join(search.items, "window").select("row", "item")
+    found = found.select("row", "window", "near", "n", "place", "position", (F.col("position") - F.col("place")).alias("start")).distinct()
+    found, by = stored(found, "found"), ["row", "window", "near", "start", "n"]
+    exact = found.where(~F.col("near")).groupBy(*by).agg(F.count("*").alias("held"))
+    reach = Window.partitionBy("row", "window").orderBy("start").rangeBetween(0, SLOP)
+    # One word of the document stands for one place alone.
+    held = F.least(*(F.size(F.collect_set(c).over(reach)) for c in ("place", "position")))
+    close = found.where("near").withColumn("held", held).groupBy(*by).agg(F.max("held").alias("held"))
+    enough = F.col("held").cast("bigint") >= F.col("n") - lacks(F.col("near"), F.col("n"))
+    both = exact.unionByName(close.withColumn("held", F.col("held").cast("bigint")))
+    return both.where(enough).withColumn("share", F.col("held") / F.col("n"))
+
+
+def items_by_row(found: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    each = found.select("row", "window").distinct().join(items, "window").select("row", "item")
     return each.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias(name))
 
 
-def hits_by_row(found: DataFrame, search: Search) -> DataFrame:
+def hits_by_row(found: DataFrame, items: DataFrame) -> DataFrame:
     """(row, n_hit, items) of exact matches: n_hit counts the words inside any of them."""
     spans = found.select("row", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(so_far), F.lit(0))))
     counts = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
-    return counts.join(items_by_row(found, search, "items"), "row")
+    return counts.join(items_by_row(found, items, "items"), "row")
 
 
 def judged_rows(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], text_col: str = "text", near: bool = True) -> tuple[DataFrame, DataFrame]:
     """The index' heads (row, own..., n_words) and the hits (row, n_hit, items, near_items,
     near_share) of rows that have any, stored."""
-    found = searches(benchmark, near)
-    vocabulary = vocabulary_of(found)
+    windows, items = search(benchmark, near)
+    vocabulary = vocabulary_of(windows)
     index = indexed(docs, vocabulary, own, text_col)
     lists = index.where(F.col("term").isNotNull()).select("row", "term", "position")
     freq = stored(lists.groupBy("term").agg(F.count("*").alias("freq")), "frequencies")
-    exact = stored(matches(found[0], lists, ranked_terms(found[0], vocabulary, freq)), "matches")
-    hits = hits_by_row(exact, found[0])
-    if near:
-        close = stored(matches(found[1], lists, ranked_terms(found[1], vocabulary, freq)), "matches")
-        shares = close.groupBy("row").agg(F.max("share").alias("near_share"))
-        hits = hits.join(shares.join(items_by_row(close, found[1], "near_items"), "row"), "row", "full_outer")
-    else:
-        hits = hits.withColumns({"near_share": F.lit(None).cast("double"), "near_items": F.lit(None).cast("array<string>")})
+    found = stored(matches(lists, ranked_terms(windows, vocabulary, freq)), "matches")
+    hits = hits_by_row(found.where(~F.col("near")), items)
+    close = found.where("near")
+    shares = close.groupBy("row").agg(F.max("share").alias("near_share"))
+    hits = hits.join(shares.join(items_by_row(close, items, "near_items"), "row"), "row", "full_outer")
     return index.where("head").select("row", "n_words", *own), stored(hits, "hits")
 
 
