@@ -14,8 +14,8 @@
    exact, so it loses no link between different texts, and it forms no pairs of copies that
    each have words enough of their own. These pairs are tested alike.
 
-Joins by a set's digest, which many copies share, broadcast the few digests that hold many rows. A
-pivot with many links meets them in joins that adaptive execution splits.
+Joins by a set's digest, which many copies share, broadcast the few digests that hold many rows. The
+texts and registers of a pivot with many links go to as many parts as these fill.
 
 Defined results: null, empty and wordless texts have 0 shingles, link with nothing and are kept.
 ``grouped``: rows that share a doc_id are judged by their own text, and ``kept`` compares ids: true for
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.functions.lineage import settle, stored
-from cloakwork.llm.common import joined_by_key, possibly_in, table, without
+from cloakwork.functions.lineage import stored
+from cloakwork.llm.common import joined_by_key, joined_in_parts, parts_of, possibly_in, table, without
 from cloakwork.llm.textbytes import BASE, TO_LOWER, blocks, mixed, shingles, words
 
 SHINGLE = 5  # words, by default
@@ -136,8 +136,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(sketch, schema)
 
 
+def with_both(pairs: DataFrame, nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Stored ``pairs`` (a, b) with ``columns`` of both nodes, as their names and _a or _b. A pivot of many
+    pairs meets them in parts."""
+
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{short}_{name}") for c, short in columns.items()])
+
+    n = pairs.count()
+    half = joined_in_parts(pairs, side("a"), parts_of(pairs, "a", n), F.col("b"))
+    return joined_in_parts(half, side("b"), parts_of(pairs, "b", n), F.col("a"))
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the registers' estimate does not rule out."""
+    """Those of the stored ``pairs`` (a, b) that the registers' estimate does not rule out; stored."""
 
     def keep(batches):
         for batch in batches:
@@ -149,10 +161,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             slack = 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.maximum(used, 1))
             yield batch.select(["a", "b"]).filter(pa.array(estimate >= PERCENT / 100 - slack))
 
-    a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
     sized = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return pairs.join(a, "a").join(b, "b").where(sized).mapInArrow(keep, "a binary, b binary")
+    both = with_both(pairs, nodes, {"n_shingles": "n", "regs": "regs"}).where(sized)
+    return stored(both.mapInArrow(keep, "a binary, b binary"))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -164,7 +175,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have the Jaccard similarity asked for."""
+    """Those of the stored ``pairs`` (a, b) whose full shingle sets have the Jaccard similarity asked for."""
 
     def keep(batches):
         for batch in batches:
@@ -174,9 +185,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
                 linked.append(100 * both >= PERCENT * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    a = nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(keep, "a binary, b binary")
+    return with_both(pairs, nodes, {"text": "text"}).mapInArrow(keep, "a binary, b binary")
 
 
 def least_overlap(n: int) -> int:
@@ -195,7 +204,7 @@ def leading(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def leading_tokens(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(pivot, node, token, late): by pivot, the hashes that can be in a node's prefix."""
+    """(pivot, node, token, late): by pivot of stored ``edges``, the hashes that can be in a node's prefix."""
 
     def extract(batches):
         for batch in batches:
@@ -207,9 +216,11 @@ def leading_tokens(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             columns = [batch.column("pivot").take(at), batch.column("node").take(at), pa.array(tokens), pa.array(late)]
             yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "token", "late"])
 
+    n = edges.count()
     a = nodes.select("node", F.col("text").alias("text_a"))
     b = nodes.select(F.col("node").alias("pivot"), F.col("text").alias("text_b"))
-    return edges.join(a, "node").join(b, "pivot").mapInArrow(extract, "pivot binary, node binary, token bigint, late boolean")
+    half = joined_in_parts(edges, a, parts_of(edges, "node", n), F.col("pivot"))
+    return joined_in_parts(half, b, parts_of(edges, "pivot", n), F.col("node")).mapInArrow(extract, "pivot binary, node binary, token bigint, late boolean")
 
 
 def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -220,21 +231,21 @@ def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int
     among their prefixes, and the places of the first one that they share leave room for the
     overlap they need. Copies that each have their own ninth or more of other words don't pass.
     """
-    placed = settle(edges.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = stored(edges.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
     by_pivot = placed.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_rows"))
-    mixed_pivots = settle(by_pivot.where("low <> high").select("pivot", "n_rows"))
+    mixed_pivots = stored(by_pivot.where("low <> high").select("pivot", "n_rows"))
     # The pivots of many members are broadcast.
     around = joined_by_key(placed, mixed_pivots, "pivot", placed.count(), "n_rows", F.xxhash64("node")).where("__cw_side is not null")
     # The pivot itself was tested against all of its members.
-    still_open = settle(around.where(F.col("node") != F.col("pivot")).select("pivot", "node", "root"))
-    tokens = settle(leading_tokens(still_open.select("pivot", "node"), nodes, size))
+    still_open = stored(around.where(F.col("node") != F.col("pivot")).select("pivot", "node", "root"))
+    tokens = stored(leading_tokens(still_open.drop("root"), nodes, size))
     rarity = tokens.groupBy("pivot", "token").agg(F.count("*").alias("freq"))
     # A node has only the first of its late hashes here, so these go by themselves, not by rarity.
     order = Window.partitionBy("pivot", "node").orderBy("late", F.when(~F.col("late"), F.col("freq")), "token")
     ranked = tokens.join(rarity, ["pivot", "token"]).withColumn("place", F.row_number().over(order) - 1)
     known = still_open.select("pivot", "node", "root").join(nodes.select("node", "n_shingles"), "node")
     in_prefix = F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * PERCENT / 100)
-    rows = settle(ranked.where("freq > 1").join(known, ["pivot", "node"]).where(in_prefix).drop("late", "freq"))
+    rows = stored(ranked.where("freq > 1").join(known, ["pivot", "node"]).where(in_prefix).drop("late", "freq"))
     crowd = rows.groupBy("pivot", "token", "root").agg(F.count("*").alias("crowd"))
     largest = crowd.groupBy("pivot", "token").agg(F.max(F.struct("crowd", "root"))["root"].alias("largest"), F.count("*").alias("roots"))
     shared = rows.join(largest.where("roots > 1").drop("roots"), ["pivot", "token"])
@@ -253,15 +264,18 @@ def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: least label of the neighbours, then of the label's
-    own label, until nothing changes; the rounds grow with the logarithm of the longest chain."""
-    both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    own label, until nothing changes; the rounds grow with the logarithm of the longest chain.
+
+    Rounds are cut by written tables, whose size is known: a checkpoint keeps the planner's estimate, which
+    joins multiply, so its digits triple with every round until planning never ends."""
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         lent = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("lent")), "b")
         least = lent.groupBy(F.col("a").alias("node")).agg(F.min("lent").alias("lent"))
         lower = labels.join(least, "node").select("node", F.col("root").alias("was"), F.least("root", "lent").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = settle(lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root"), "was"))
+        after = stored(lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root"), "was"))
         changed = not after.where(F.col("root") != F.col("was")).isEmpty()
         labels = after.select("node", "root")
         if not changed:
@@ -271,37 +285,37 @@ def components(links: DataFrame) -> DataFrame:
 def placed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, text_key, n_shingles, node, root, component_id), a row for each of ``docs``: ``root`` names
     a component, and is null for rows without words."""
-    rows = settle(sketches(docs, id_col, text_col, size))
+    rows = stored(sketches(docs, id_col, text_col, size))
     wordy = rows.where(F.col("n_shingles") > 0)
-    classes = settle(wordy.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("n_rows")))
+    classes = stored(wordy.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("n_rows")))
     firsts = classes.join(wordy, (classes["node"] == wordy["node"]) & classes["least_id"].eqNullSafe(wordy["id"]))
     keyed = firsts.select(classes["node"], F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     # A repeated (id, text) repeats its class here; distinct leaves one.
-    members = settle(keyed.join(crowded, "key").distinct())
+    members = stored(keyed.join(crowded, "key").distinct())
     reach = members.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    needed = settle(reach.join(classes.drop("n_rows"), "node"))
+    needed = stored(reach.join(classes.drop("n_rows"), "node"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = possibly_in(texts, "id", needed.select("least_id"))
-    nodes = settle(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id"))), size))
+    nodes = stored(of_the_class(needed.join(texts, F.col("least_id").eqNullSafe(F.col("id"))), size))
 
     pivots = members.join(needed.select("node", "reach"), "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("pivot"))
-    edges = settle(members.join(pivots, "key").select("node", "pivot").distinct())
+    edges = stored(members.join(pivots, "key").select("node", "pivot").distinct())
     stars = edges.where(F.col("node") != F.col("pivot"))
-    stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = settle(confirmed(plausible(stars, nodes), nodes, size))
+    stars = stored(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    links = stored(confirmed(plausible(stars, nodes), nodes, size))
     labels = components(links)
 
     # What the pivots left open: pairs around one pivot in different components.
-    untested = open_pairs(edges, labels, nodes, size).join(stars, ["a", "b"], "left_anti")
-    more = settle(confirmed(plausible(untested, nodes), nodes, size))
+    untested = stored(open_pairs(edges, labels, nodes, size).join(stars, ["a", "b"], "left_anti"))
+    more = stored(confirmed(plausible(untested, nodes), nodes, size))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
     grown = labels.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     homes = labels.join(grown, "root").select("node", "root", "component_id")
     whole = F.coalesce("component_id", "least_id").alias("component_id")
-    homes = settle(classes.join(homes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), whole, "n_rows"))
+    homes = stored(classes.join(homes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), whole, "n_rows"))
     # Exact copies share their node; the few nodes that hold many rows are broadcast.
     slim = rows.select("id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     # Texts without words share one digest, but link with nothing: each goes along by itself.

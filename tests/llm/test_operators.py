@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cloakwork.llm import automaton, decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, sharding, url_filters
+from cloakwork.llm import automaton, common, decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, sharding, url_filters
 from cloakwork.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import DOCS, WORDS, prose
 
@@ -145,6 +145,27 @@ def test_near_duplicates_like_brute_force(spark, near_texts, size):
     assert kept == {c for _, c in got.values()}
 
 
+def test_join_in_parts_like_a_join(spark, monkeypatch):
+    """A key with half of all rows is split; the result is the plain join's, null and missing keys included."""
+    monkeypatch.setattr(common, "LEAST_PART", 10)
+    keys = ["hot"] * 500 + [f"k{n % 200}" for n in range(490)] + [None] * 5 + ["absent"] * 5
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key string, n long")
+    side = spark.createDataFrame([("hot", "h")] + [(f"k{n}", str(n)) for n in range(250)], "key string, text string")
+    parts = common.parts_of(rows, "key", len(keys))
+    assert [tuple(r) for r in parts.collect()] == [("hot", 50)]
+    got = common.joined_in_parts(rows, side, parts, F.col("n"))
+    assert got.columns == ["key", "n", "text"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(side, "key").collect()))
+
+
+def test_components_of_a_long_chain(spark):
+    """Ten rounds and more end, whatever order the chain's names are in."""
+    names = [bytes([n % 251, n // 251]) for n in range(600)]
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a binary, b binary")
+    rows = near_dedup.components(links).collect()
+    assert len(rows) == 600 and {bytes(r["root"]) for r in rows} == {min(names)}
+
+
 def test_prefix_filter_loses_nothing(spark, near_texts, monkeypatch):
     """With no link known, the open pairs hold every link around a pivot."""
     monkeypatch.setattr(near_dedup, "components", lambda links: links.limit(0).selectExpr("a as node", "a as root"))
