@@ -86,30 +86,6 @@ def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n_rows: int, weigh
     return both.withColumn("__cw_side", F.coalesce("__cw_heavy", "__cw_light")).drop("__cw_key", "__cw_heavy", "__cw_light")
 
 
-#: Fewer rows of a key are not split.
-LEAST_PART = 256
-
-
-def parts_of(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """(key, __cw_parts) of the heavy keys of stored ``rows``: a part holds a HEAVYth of them, LEAST_PART at least."""
-    per_part = max(LEAST_PART, n_rows / HEAVY)
-    counts = rows.groupBy(key).agg(F.count("*").alias("__cw_n")).where(F.col("__cw_n") > per_part)
-    return counts.select(key, F.ceil(F.col("__cw_n") / per_part).cast("int").alias("__cw_parts"))
-
-
-def joined_in_parts(rows: DataFrame, side: DataFrame, parts: DataFrame, spread: Column) -> DataFrame:
-    """``rows`` inner-joined with ``side``, which has each key once, by the key of ``parts``.
-
-    The rows of a heavy key are dealt by ``spread`` over its parts, and its side goes to every part. Heavy keys
-    and their numbers of parts are broadcast, at most HEAVY rows; the side is not, so it may be long texts.
-    """
-    key, heavy = parts.columns[0], F.broadcast(parts)
-    n = F.coalesce(F.col("__cw_parts"), F.lit(1))
-    dealt = rows.join(heavy, key, "left").withColumn("__cw_part", F.pmod(F.xxhash64(spread), n).cast("int"))
-    copies = side.join(heavy, key, "left").withColumn("__cw_part", F.explode(F.sequence(F.lit(0), n - 1)))
-    return dealt.drop("__cw_parts").join(copies.drop("__cw_parts"), [key, "__cw_part"]).drop("__cw_part")
-
-
 def bucket_count(n_rows: int, per_bucket: int = 256, most: int = 65536) -> int:
     """Hash buckets for ``n_rows``: grows with the table. ``most`` bounds the offset tables, a row a
     stratum and bucket; at the most, 20 billion slim rows come to some 300,000 a bucket, which sort and spill."""
