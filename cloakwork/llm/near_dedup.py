@@ -253,15 +253,22 @@ def open_pairs(edges: DataFrame, labels: DataFrame, nodes: DataFrame, size: int
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: least label of the neighbours, then of the label's
-    own label, until nothing changes; the rounds grow with the logarithm of the longest chain."""
-    both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    own label, until nothing changes; the rounds grow with the logarithm of the longest chain.
+
+    Rounds are cut by written tables: a checkpoint keeps the planner's estimate of sizes, which joins multiply,
+    so that its digits triple with every round. Files of digests may be larger in memory, so none is broadcast."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return stored(rows, "links").hint("merge")
+
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         lent = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("lent")), "b")
         least = lent.groupBy(F.col("a").alias("node")).agg(F.min("lent").alias("lent"))
         lower = labels.join(least, "node").select("node", F.col("root").alias("was"), F.least("root", "lent").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = settle(lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root"), "was"))
+        after = cut(lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root"), "was"))
         changed = not after.where(F.col("root") != F.col("was")).isEmpty()
         labels = after.select("node", "root")
         if not changed:
