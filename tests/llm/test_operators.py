@@ -145,13 +145,6 @@ def test_near_duplicates_like_brute_force(spark, near_texts, size):
     assert kept == {c for _, c in got.values()}
 
 
-def test_components_of_a_long_chain(spark):
-    names = [bytes([n % 251, n // 251]) for n in range(600)]
-    links = spark.createDataFrame(list(zip(names, names[1:])), "a binary, b binary")
-    rows = near_dedup.components(links).collect()
-    assert len(rows) == 600 and {bytes(r["root"]) for r in rows} == {min(names)}
-
-
 def test_prefix_filter_loses_nothing(spark, near_texts, monkeypatch):
     """With no link known, the open pairs hold every link around a pivot."""
     monkeypatch.setattr(near_dedup, "components", lambda links: links.limit(0).selectExpr("a as node", "a as root"))
