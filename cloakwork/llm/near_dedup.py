@@ -305,8 +305,10 @@ def placed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    grown = labels.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    homes = labels.join(grown, "root").select("node", "root", "component_id")
+    grown = settle(labels.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes")))
+    # A component may hold a large part of all nodes; such ones are broadcast.
+    homes = joined_by_key(labels, grown, "root", labels.count(), "n_nodes", F.xxhash64("node"))
+    homes = homes.select("node", "root", "__cw_side.component_id")
     whole = F.coalesce("component_id", "least_id").alias("component_id")
     homes = settle(classes.join(homes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), whole, "n_rows"))
     # Exact copies share their node; the few nodes that hold many rows are broadcast.
