@@ -33,6 +33,20 @@ TIERS = ((0, 4), (4, 64), (64, MOST_ATTEMPTS))
 LEAST_REPLAY_LENGTH = 5
 BIRTH_DATES_FROM = "1945-01-01"  # 62 years of dates: ages 18 to 80 in 2025
 BIRTH_DATES = 62 * 365 + 15
+#: At most so many fakes has a type that a document's values may outnumber; IP addresses of version 4 only.
+SPACES = {
+    "PERSON": len(GIVEN_NAMES) * len(FAMILY_NAMES),
+    "PHONE_NUMBER": 100,
+    "PHYSICAL_ADDRESS": 999,
+    "US_SSN": 99 * 9_999,
+    "DATE_OF_BIRTH": BIRTH_DATES,
+    "IP_ADDRESS": 254,
+    "IN_PAN": 10_000,
+    "IN_AADHAAR": 9_999,
+    "IN_CIN": 1_000_000,
+}
+#: Records settled before their fakes are put to the others', fakes in a slot of the used ones, and slots.
+BLOCK, SLOT, MOST_SLOTS = 512, 8, 1024
 
 
 def seed_hash(seed: int, entity_type: Column, value: Column, attempt: Column) -> Column:
@@ -147,12 +161,12 @@ def generated(seed: int, entity_type: Column, value: Column, attempt: Column, ov
     return let(seed_hash(seed, entity_type, value, attempt), fake)
 
 
-def first_unused(seed: int, entity_type: Column, value: Column, used: Column, overrides: Overrides = ()) -> Column:
-    """The first attempt's fake that ``used`` (lower case) lacks and that isn't the value itself;
+def first_unused(seed: int, entity_type: Column, value: Column, used: Callable[[Column], Column], overrides: Overrides = ()) -> Column:
+    """The first attempt's fake that isn't ``used`` (asked in lower case) nor the value itself;
     null where MOST_ATTEMPTS make none."""
 
     def free(fake: Column) -> Column:
-        return ~F.array_contains(used, F.lower(fake)) & (F.lower(fake) != value)
+        return let(F.lower(fake), lambda f: ~used(f) & (f != value))
 
     tiers = [
         F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: generated(seed, entity_type, value, k, overrides)), free), F.lit(0))
@@ -193,25 +207,80 @@ def assigned(distinct: DataFrame, seed: int, scope: str = "doc_id", overrides: O
     return each.select(scope, "m.*", "first_no")
 
 
+def _space(entity_type: Column, value: Column, types: list[str]) -> Column:
+    """The place in ``types`` of the space that a value's fakes are from; null for any other."""
+    chosen = F.when(F.lit(False), F.lit(0))
+    for k, name in enumerate(types):
+        own = entity_type == name
+        chosen = chosen.when(own & ~F.contains(value, F.lit(":")) if name == "IP_ADDRESS" else own, F.lit(k))
+    return chosen
+
+
 @remembered
 def settled_records(seed: int, overrides: Overrides = ()) -> Column:
-    """The array ``records``, in order of first appearance, with a replacement for each."""
+    """The array ``records``, in order of first appearance, with a replacement for each.
+
+    Used fakes lie in slots by their hash, and those of each small space are counted: where all are
+    used, no attempt could find another, and none is made.
+    """
+    sizes = {name: size for name, size in SPACES.items() if name not in dict(overrides)}
+    counts = F.array(*[F.lit(0)] * len(sizes)).cast("array<int>")
+    limits = F.array(*map(F.lit, sizes.values())).cast("array<int>")
 
     def settle_one(state: Column, r: Column) -> Column:
-        def put(fake: Column) -> Column:
-            done = F.struct(
+        used, slots = state["used"], F.size(state["used"])
+
+        def slot(fake: Column) -> Column:
+            return F.pmod(F.hash(fake), slots)
+
+        def settle_in(space: Column) -> Column:
+            def put(fake: Column) -> Column:
+                def added(f: Column) -> Column:
+                    own = F.array(F.concat(F.get(used, slot(f)), F.array(f)))
+                    return F.concat(F.slice(used, F.lit(1), slot(f)), own, F.slice(used, slot(f) + 2, slots))
+
+                counted = F.transform(state["counts"], lambda n, k: n + F.when(k == space, 1).otherwise(0))
+                return F.struct(
+                    F.when(fake.isNull(), used).otherwise(let(F.lower(fake), added)).alias("used"),
+                    F.when(fake.isNull() | space.isNull(), state["counts"]).otherwise(counted).alias("counts"),
+                    F.concat(state["fakes"], F.array(fake)).alias("fakes"),
+                )
+
+            unused = first_unused(
+                seed, r["entity_type"], r["normalized_original"], lambda f: F.array_contains(F.get(used, slot(f)), f), overrides
+            )
+            spent = F.coalesce(F.get(state["counts"], space) >= F.get(limits, space), F.lit(False))
+            return let(F.when(~spent, unused), put)
+
+        return let(_space(r["entity_type"], r["normalized_original"], list(sizes)), settle_in)
+
+    def settle_block(state: Column, k: Column) -> Column:
+        # An array grows by copying: blocks keep documents with many thousands of records cheap.
+        begin = F.struct(state["used"].alias("used"), state["counts"].alias("counts"), none.alias("fakes"))
+        return F.aggregate(
+            F.slice("records", k * BLOCK + 1, F.lit(BLOCK)),
+            begin,
+            settle_one,
+            lambda s: F.struct(s["used"].alias("used"), s["counts"].alias("counts"), F.concat(state["fakes"], s["fakes"]).alias("fakes")),
+        )
+
+    def done(fakes: Column) -> Column:
+        return F.transform(
+            "records",
+            lambda r, k: F.struct(
                 r["entity_type"].alias("entity_type"),
                 r["first"]["value"].alias("original"),
                 r["normalized_original"].alias("normalized_original"),
-                fake.alias("replacement"),
+                F.get(fakes, k).alias("replacement"),
                 r["occurrences"].alias("occurrences"),
-            )
-            return F.concat(state, F.array(done)).cast(f"array<{RECORD}>")
-
-        used = F.filter(F.transform(state, lambda s: F.lower(s["replacement"])), lambda f: f.isNotNull())
-        return let(let(used, lambda u: first_unused(seed, r["entity_type"], r["normalized_original"], u, overrides)), put)
-
-    return F.aggregate("records", F.array().cast(f"array<{RECORD}>"), settle_one)
+            ),
+        ).cast(f"array<{RECORD}>")
+
+    none = F.array().cast("array<string>")
+    slots = F.least((F.size("records") / SLOT).cast("int") + 1, F.lit(MOST_SLOTS))
+    start = F.struct(F.array_repeat(none, slots).alias("used"), counts.alias("counts"), none.alias("fakes"))
+    blocks = F.sequence(F.lit(0), F.greatest(((F.size("records") - 1) / BLOCK).cast("int"), F.lit(0)))
+    return let(F.aggregate(blocks, start, settle_block, lambda s: s["fakes"]), done)
 
 
 def incomplete(mappings: DataFrame, scope: str = "doc_id") -> DataFrame:

@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.functions.spans import find_all, spliced
 from cloakwork.functions.values import ipv6_compressed, luhn_valid, normalized, verhoeff_valid
-from cloakwork.operators.pseudonyms import incomplete, mapped, replay_dictionary
+from cloakwork.operators.pseudonyms import BLOCK, MOST_ATTEMPTS, SPACES, generated, incomplete, mapped, replay_dictionary
 from cloakwork.operators.redact import redact, replay_hits
 
 ROWS = "doc_id long, unit_no long, start int, entity_type string, value string"
@@ -152,3 +153,46 @@ def test_peeking_and_own_generators(spark):
     other = spark.createDataFrame([(1, 0, 0, "IN_PAN", "BBBPB1234B")], ROWS)
     with pytest.raises(Exception, match="no mapping"):
         existing_replacements(other, maps).collect()
+
+
+def test_many_records_are_settled_one_after_another(spark):
+    phones = [("PHONE_NUMBER", f"+91 98765 4{k:04d}") for k in range(130)]
+    hosts = [("IP_ADDRESS", f"10.0.{k // 250}.{k % 250}") for k in range(300)] + [("IP_ADDRESS", f"2001:db8::{k:x}") for k in range(1, 60)]
+    people = [("PERSON", f"Person {k}") for k in range(150)]
+    rows = [r for k in range(300) for group in (phones, hosts, people) for r in group[k : k + 1]] + hosts[300:]
+    assert len(rows) > BLOCK
+    got = {r["original"]: r["replacement"] for r in make(spark, rows).values()}
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, v string")
+    tries = df.withColumn("n", normalized(F.col("t"), F.col("v"))).crossJoin(spark.range(MOST_ATTEMPTS).withColumnRenamed("id", "a"))
+    fakes = tries.select("k", "n", "a", generated(23, F.col("t"), F.col("n"), F.col("a")).alias("fake"))
+    each = fakes.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("a", "fake"))).alias("tries")).orderBy("k").collect()
+    used, want = set(), {}
+    for row, (_, value) in zip(each, rows, strict=True):
+        own = (t["fake"] for t in row["tries"] if t["fake"].lower() not in used | {row["n"]})
+        want[value] = next(own, None)
+        used |= {want[value].lower()} if want[value] else set()
+    assert got == want and list(want.values()).count(None) >= 30 + 46
+
+
+def test_spaces_hold_every_fake_of_a_type(spark):
+    """A space said to be smaller than it is would leave values without fakes."""
+    df = spark.range(300_000)
+    for name in ("PERSON", "PHONE_NUMBER", "PHYSICAL_ADDRESS", "DATE_OF_BIRTH", "IP_ADDRESS", "IN_PAN", "IN_AADHAAR"):
+        fakes = df.select(F.lower(generated(23, F.lit(name), F.lit("x"), F.col("id"))).alias("fake"))
+        assert fakes.distinct().count() == SPACES[name], name
+
+
+def test_an_own_generator_has_no_known_space(spark):
+    own = (("PHONE_NUMBER", lambda n, _: F.concat(F.lit("own "), n.cast("string"))),)
+    df = spark.createDataFrame([(1, 0, k, "PHONE_NUMBER", f"+91 98765 4{k:04d}") for k in range(150)], ROWS)
+    assert mapped(df, 23, overrides=own).where(F.col("replacement").startswith("own ")).count() == 150
+
+
+def test_thousands_of_values_beyond_a_types_fakes(spark):
+    """Each costs one look at a count, not every attempt."""
+    value = F.concat(F.lit("+91 9"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("value")
+    place = [F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("unit_no"), F.col("id").cast("int").alias("start")]
+    rows = spark.range(20_000).select(*place, F.lit("PHONE_NUMBER").alias("entity_type"), value)
+    began = time.perf_counter()
+    faked = mapped(rows, 17, unicode=False).agg(F.count("*"), F.count("replacement"), F.count_distinct("replacement")).first()
+    assert tuple(faked) == (20_000, 100, 100) and time.perf_counter() - began < 60
