@@ -35,6 +35,10 @@ MONTHS = (
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 )
+# Letters whose upper case is newer than DuckDB's tables (Unicode 16).
+UNPAIRED = "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+#: Characters whose upper case is several characters, and the one that each has by itself.
+SINGLE_UPPER = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
 
 
 def digits(value: Column) -> Column:
@@ -134,6 +138,14 @@ def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
+def upper_each(value: Column) -> Column:
+    """Upper case of each character by itself, as DuckDB has it; F.upper makes several of some (SS of ß)."""
+    apart, own = "".join(SINGLE_UPPER) + UNPAIRED, "".join(SINGLE_UPPER.values()) + UNPAIRED
+    pieces = F.split(value, f"(?<=[{apart}])|(?=[{apart}])", -1)
+    raised = F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(f"[{apart}]")), F.translate(p, apart, own)).otherwise(F.upper(p)))
+    return F.when(F.rlike(value, F.lit(f"[{apart}]")), F.array_join(raised, "")).otherwise(F.upper(value))
+
+
 def is_ascii(value: Column) -> Column:
     return F.octet_length(value) == F.char_length(value)
 

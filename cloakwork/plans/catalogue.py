@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.lineage import scratch, stored
 from cloakwork.functions.spans import find_all, overlaps, piece
-from cloakwork.functions.values import VERHOEFF_D, VERHOEFF_P, date_of_birth, luhn_valid, normalized
+from cloakwork.functions.values import VERHOEFF_D, VERHOEFF_P, date_of_birth, luhn_valid, normalized, upper_each
 from cloakwork.operators import audit, evaluate, pseudonyms, recognizers, redact, validate
 from cloakwork.operators.recognizers import Rule, deny_rules, spans
 from cloakwork.operators.resolve import admitted, detect, entity_rows
@@ -784,5 +784,5 @@ def hash_validation(spark: SparkSession, d: str) -> DataFrame:
     """Documents that changed against their recorded hash: every fiftieth was changed."""
     docs = read(spark, d, "documents")
     before = docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
-    changed = F.when(F.col("doc_id") % 50 == 0, F.upper("text")).otherwise(F.col("text"))
+    changed = F.when(F.col("doc_id") % 50 == 0, upper_each(F.col("text"))).otherwise(F.col("text"))
     return validate.hash_mismatches(before, docs.select("doc_id", F.sha2(changed, 256).alias("sha256")))

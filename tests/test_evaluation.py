@@ -3,6 +3,8 @@
 import json
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from cloakwork.cli import main
 from cloakwork.operators import audit, evaluate, validate
 from cloakwork.operators.recognizers import RULES
 from cloakwork.operators.resolve import detect, resolved
+from cloakwork.plans import catalogue
 from cloakwork.schemas import CANDIDATE, ENTITY_TYPES, GENERIC_ORGANIZATIONS
 from cloakwork.sources import annotations
 from cloakwork.streaming import stream
@@ -116,3 +119,15 @@ def test_detection_of_a_batch_and_extra_columns(spark):
     units = spark.createDataFrame([(1, "x", "mail a@example.com")], "doc_id int, candidates string, text string")
     out = detect(units, rules=[r for r in RULES if r.entity_type == "EMAIL_ADDRESS"])
     assert out.columns == ["doc_id", "candidates", "text", "entities"] and len(out.first()["entities"]) == 1
+
+
+def test_upper_case_by_character_like_sql(spark, tmp_path):
+    """Every character, alone and between others; texts of many, and none."""
+    points = [k for k in range(1, 0x110000) if not 0xD800 <= k <= 0xDFFF]
+    texts = [chr(k) for k in points] + [f"a{chr(k)}\u0301ßi" for k in points[:0x3000]] + ["Straße, große ﬁsche ŉ", "ßß", "", None]
+    pd.DataFrame({"doc_id": range(0, 50 * len(texts), 50), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = {r[0]: r[1:] for r in duck.sql(catalogue.ORACLES["hash_validation"]).fetchall()}
+    got = {r["doc_id"]: (r["expected"], r["found"]) for r in catalogue.hash_validation(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) > 13_000
